@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate
-from quillstone.runtime import table
+from quillstone.llm import decontaminate, tokens
+from quillstone.runtime import fresh_path, table
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the package that holds it is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarise(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    tokens.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return tokens.checksums(tokens.read_store(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
+    "op6_token_output": op6_token_output,
 }
 
 SQL: dict[str, str] = {}
