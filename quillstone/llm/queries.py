@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, tokens
+from quillstone.llm import decontaminate, secrets, tokens
 from quillstone.runtime import fresh_path, table
 
 
@@ -27,9 +27,14 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.checksums(tokens.read_store(spark, path))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summarise(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
+    "op9_secrets": op9_secrets,
 }
 
 SQL: dict[str, str] = {}
