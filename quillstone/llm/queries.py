@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, secrets, tokens
+from quillstone.llm import decontaminate, packing, secrets, tokens
 from quillstone.runtime import fresh_path, table
 
 
@@ -27,6 +27,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.checksums(tokens.read_store(spark, path))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarise(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -34,6 +38,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
+    "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
 }
 
