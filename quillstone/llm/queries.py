@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, packing, secrets, tokens
-from quillstone.runtime import fresh_path, table
+from quillstone.llm import chat, decontaminate, packing, secrets, tokens
+from quillstone.runtime import fresh_path, settle, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,11 +35,22 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarise(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+#: A conversation that says control strings and a backslash; its id is not in the table.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(settle(chat.format_conversations(turns.unionByName(extra)), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_chat_format": op10_chat_format,
 }
 
 SQL: dict[str, str] = {}
