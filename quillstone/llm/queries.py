@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontaminate, packing, secrets, tokens
+from quillstone.llm import chat, decontaminate, packing, secrets, tokens, toxicity
 from quillstone.runtime import fresh_path, settle, table
 
 
@@ -17,6 +18,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows in this fifth are never learned from.
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    score = toxicity.score_column(docs, model)
+    scored = docs.select("doc_id", held_out().alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summarise(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,6 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
     "op8_packing": op8_packing,
