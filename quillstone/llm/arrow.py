@@ -53,3 +53,40 @@ def _array(x) -> pa.Array:
     if isinstance(x, np.ndarray):
         return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
     return pa.array(x)
+
+
+def by_key(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Iterator[dict]], schema: str) -> DataFrame:
+    """Apply `fn` to the rows of each key, one key at a time; integer keys without nulls.
+
+    Keys must be made so that a key's rows are bounded. A shuffle brings them together and
+    a worker holds one key's rows.
+    """
+    prepare(df.sparkSession)
+    names = [f.split(":")[0].split()[0].strip("`") for f in _fields(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(batch.num_rows, dtype=bool)
+            change[0] = True
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(change).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                now = tuple(int(c[a]) for c in columns)
+                if now != key and held:
+                    yield from finish(key, held)
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from finish(key, held)
+
+    def finish(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
+        for out in fn(key, pa.Table.from_batches(held)):
+            yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -57,8 +57,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, CHUNK + (1 << 16))
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (_BASE, inverse)]
+        inverse, tables = pow(_BASE, -1, 1 << 64), []
+        for base in (_BASE, inverse):
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            tables.append(np.cumprod(factors, dtype=np.uint64))
+        _POWERS[:] = tables
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

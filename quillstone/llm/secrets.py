@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm import bloom
 from quillstone.llm.arrow import map_batches, prepare
 from quillstone.runtime import fresh_path, settle
 
@@ -67,40 +67,14 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-_BLOOM_BITS = 26
-_WORD_MASK = (1 << (_BLOOM_BITS - 6)) - 1
-
-
-def _bits(key: Column) -> list[Column]:
-    h = F.xxhash64(key)
-    return [F.shiftrightunsigned(h, s).bitwiseAND((1 << _BLOOM_BITS) - 1) for s in (0, 32)]
-
-
-def _bloom(ids: DataFrame, key: str) -> np.ndarray:
-    """A Bloom filter of a key column as 2**20 words; at most that many rows reach the driver."""
-    bits = ids.select(F.explode(F.array(*_bits(F.col(key)))).alias("b"))
-    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
-    out = np.zeros(1 << (_BLOOM_BITS - 6), dtype=np.uint64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
-    return out
-
-
-def _in_bloom(words: np.ndarray, first: pa.Array, second: pa.Array) -> np.ndarray:
-    keep = np.ones(len(first), dtype=bool)
-    for column in (first, second):
-        b = column.to_numpy(zero_copy_only=False).astype(np.uint64)
-        keep &= (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
-    return keep
-
-
 def scan_blobs(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(blob, spans) of the chosen (row id, blob) pairs; spans may be empty."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(_bloom(chosen, "scan_id"))
-    first, second = _bits(F.col(id_col).cast("bigint"))
+    held = spark.sparkContext.broadcast(bloom.build(chosen, "scan_id"))
+    first, second = bloom.bit_columns(F.col(id_col).cast("bigint"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        keep = _in_bloom(held.value, batch.column(2), batch.column(3))
+        keep = bloom.test(held.value, batch.column(2), batch.column(3))
         ids, blobs, spans = [], [], []
         for i in np.flatnonzero(keep).tolist():
             text = batch.column(1)[i].as_py() or ""
@@ -169,16 +143,6 @@ def summarise(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *(count(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(said(base), 256).alias("base_sha256"), said(spans).alias("spans"))
 
 
-def maybe(words: Broadcast, key: Column) -> Column:
-    """Whether a key may be in a Bloom filter (no false negatives)."""
-
-    @F.arrow_udf("boolean")
-    def test(first: pa.Array, second: pa.Array) -> pa.Array:
-        return pa.array(_in_bloom(words.value, first, second))
-
-    return test(*_bits(key))
-
-
 def without_secrets(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """All rows, each span of their blob's findings replaced by `mark`; other columns unchanged.
 
@@ -187,7 +151,7 @@ def without_secrets(docs: DataFrame, ledger: Ledger | None = None, id_col: str =
     """
     spark = docs.sparkSession
     found = settle(scan(docs, ledger, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct(), "found")
-    may = maybe(spark.sparkContext.broadcast(_bloom(found, "_id")), F.col(id_col).cast("bigint"))
+    may = bloom.maybe(spark.sparkContext.broadcast(bloom.build(found, "_id")), F.col(id_col).cast("bigint"))
     marked = docs.withColumn("_may", may)
     cut = F.aggregate(
         F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))),
