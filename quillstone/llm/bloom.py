@@ -40,3 +40,13 @@ def maybe(words: Broadcast, key: Column) -> Column:
         return pa.array(test(words.value, first, second))
 
     return inside(*bit_columns(key))
+
+
+def split_by_id(rows: DataFrame, key: Column, ids: DataFrame, id_name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key isn't among `ids` for sure, and rows whose key may be.
+
+    Only the latter need a join, so the bulk of a table stays where it lies.
+    """
+    may = maybe(rows.sparkSession.sparkContext.broadcast(build(ids, id_name)), key.cast("bigint"))
+    marked = rows.withColumn("_may", F.coalesce(may, F.lit(False)))
+    return marked.where("not _may").drop("_may"), marked.where("_may").drop("_may")

@@ -149,10 +149,8 @@ def without_secrets(docs: DataFrame, ledger: Ledger | None = None, id_col: str =
     Only rows whose id may be among those with findings are joined (and shuffled); the
     others pass through where they lie.
     """
-    spark = docs.sparkSession
     found = settle(scan(docs, ledger, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct(), "found")
-    may = bloom.maybe(spark.sparkContext.broadcast(bloom.build(found, "_id")), F.col(id_col).cast("bigint"))
-    marked = docs.withColumn("_may", may)
+    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), found, "_id")
     cut = F.aggregate(
         F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
@@ -162,7 +160,7 @@ def without_secrets(docs: DataFrame, ledger: Ledger | None = None, id_col: str =
         ),
         lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    touched = marked.where("_may").withColumn("_key", blob_id(F.col(text_col)))
+    touched = doubtful.withColumn("_key", blob_id(F.col(text_col)))
     touched = touched.join(found, (F.col(id_col).cast("bigint") == F.col("_id")) & (F.col("_key") == F.col("_blob")), "left")
     touched = touched.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut))
-    return marked.where("not _may").select(docs.columns).unionByName(touched.select(docs.columns))
+    return clear.unionByName(touched.select(docs.columns))

@@ -333,7 +333,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """The rows whose id is the least of its component, with all their columns; rows without an id stay.
 
-    The ids to drop are usually a small share, but nothing bounds them: they are joined, not broadcast.
+    Only rows whose id may be among those to drop are joined; the others stay where they lie.
     """
-    drop = classes(docs, id_col, text_col, width, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("_drop"), "left_anti")
+    found = classes(docs, id_col, text_col, width, percent)
+    drop = settle(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "drop")
+    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), drop, "_drop")
+    return clear.unionByName(doubtful.join(drop, F.col(id_col).cast("bigint") == F.col("_drop"), "left_anti"))
