@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontaminate, packing, quality, secrets, setjoin, tokens, toxicity
+from quillstone.llm import chat, decontaminate, packing, quality, secrets, setjoin, suffixes, tokens, toxicity
 from quillstone.runtime import fresh_path, settle, table
 
 
@@ -50,6 +50,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.checksums(tokens.read_store(spark, path))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summarise(suffixes.cut(table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_chat_format": op10_chat_format,
