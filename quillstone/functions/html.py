@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.runtime import ship
+from quillstone.runtime import once, ship
 
 ROW = pa.struct([("head", pa.bool_()), ("body", pa.bool_()), ("spans", pa.bool_()), ("cells", pa.list_(pa.string())), ("data", pa.list_(pa.string()))])
 ROWS_DDL = "array<struct<head:boolean,body:boolean,spans:boolean,cells:array<string>,data:array<string>>>"
@@ -97,7 +97,7 @@ def table_rows(df: DataFrame, html: str) -> DataFrame:
     def rows(texts: pa.Array) -> pa.Array:
         return pa.array([parse_rows(t.as_py()) for t in texts], pa.list_(ROW))
 
-    return df.withColumn("rows", rows(F.col(html)))
+    return df.withColumn("rows", once(rows)(F.col(html)))
 
 
 def stripped_lines(df: DataFrame, html: str) -> DataFrame:
@@ -108,7 +108,7 @@ def stripped_lines(df: DataFrame, html: str) -> DataFrame:
     def lines(texts: pa.Array) -> pa.Array:
         return pa.array([None if t.as_py() is None else [plain_text(x) for x in t.as_py().splitlines()] for t in texts], pa.list_(pa.string()))
 
-    return df.withColumn("lines", lines(F.col(html)))
+    return df.withColumn("lines", once(lines)(F.col(html)))
 
 
 def plain_table(rows: Column) -> Column:

@@ -16,12 +16,21 @@ def rx(pattern: str) -> str:
 
 def capture(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null without a match."""
-    return F.when(text.rlike(rx(pattern)), F.regexp_extract(text, rx(pattern), group))
+    return F.get(F.transform(F.array(text), lambda v: F.when(v.rlike(rx(pattern)), F.regexp_extract(v, rx(pattern), group))), 0)
 
 
-def strip(text: Column, chars: str = r"\s") -> Column:
-    """Without leading and trailing characters of a class (white space by default)."""
-    return F.regexp_replace(text, rx(f"^[{chars}]+|[{chars}]+$"), "")
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: Characters that count as white space at the ends of a field.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column, chars: str = WHITE) -> Column:
+    """Without leading and trailing characters of a set (white space by default)."""
+    return F.btrim(text, F.lit(chars))
 
 
 def clean_field(text: Column) -> Column:
@@ -47,7 +56,7 @@ def drop_bidi(text: Column) -> Column:
 def iso_date(text: Column, pattern: str, default: str | None = None) -> Column:
     """A captured dd.MM.yyyy as an ISO date; what isn't a date stays as it is."""
     raw = capture(text, pattern)
-    return F.coalesce(F.date_format(F.try_to_date(raw, "dd.MM.yyyy"), "yyyy-MM-dd"), raw, F.lit(default))
+    return let(raw, lambda v: F.coalesce(F.date_format(F.try_to_date(v, "dd.MM.yyyy"), "yyyy-MM-dd"), v, F.lit(default)))
 
 
 #: Accepted orders of day, month and year, the first that fits wins; with a 12-hour time or without.
@@ -64,14 +73,16 @@ def slash_date(text: Column) -> Column:
 
     Two-digit years from 69 on lie in the 1900s.
     """
-    raw = strip(text)
-    tries = []
-    for fmt in DATE_ORDERS:
-        at = F.try_to_timestamp(F.when(raw.rlike(_year_shape(fmt)), F.upper(F.regexp_replace(raw, r"\s+", " "))), F.lit(fmt))
-        if "yyyy" not in fmt:
-            at = F.when(F.year(at) >= 2069, at - F.expr("interval 100 years")).otherwise(at)
-        tries.append(F.date_format(at, "dd/MM/yyyy HH:mm" if "a" in fmt else "dd/MM/yyyy"))
-    return F.when(F.length(raw) > 0, F.coalesce(*tries, raw))
+    def read(raw: Column) -> Column:
+        tries = []
+        for fmt in DATE_ORDERS:
+            at = F.try_to_timestamp(F.when(raw.rlike(_year_shape(fmt)), F.upper(F.regexp_replace(raw, r"\s+", " "))), F.lit(fmt))
+            if "yyyy" not in fmt:
+                at = let(at, lambda x: F.when(F.year(x) >= 2069, x - F.expr("interval 100 years")).otherwise(x))
+            tries.append(F.date_format(at, "dd/MM/yyyy HH:mm" if "a" in fmt else "dd/MM/yyyy"))
+        return F.when(F.length(raw) > 0, F.coalesce(*tries, raw))
+
+    return let(strip(text), read)
 
 
 def is_arabic(text: Column) -> Column:
@@ -86,7 +97,7 @@ _NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 def number(text: Column) -> Column:
     """A decimal number as double (Arabic-Indic digits too), else null."""
     plain = F.translate(strip(text), _EASTERN, "0123456789")
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    return let(plain, lambda v: F.when(v.rlike(_NUMBER), v.try_cast("double")))
 
 
 def after_label(line: Column, label: str) -> Column:
@@ -101,8 +112,8 @@ def before_label(line: Column, label: str) -> Column:
 
 def clean_value(text: Column) -> Column:
     """Without separators at the ends or a closing parenthesis; null if nothing is left."""
-    inner = strip(F.regexp_replace(strip(text, r" \t:.\-،"), rx(r"\s*\([^)]+\)\s*$"), ""))
-    return F.when(~inner.isin("", ":", "-", "–"), inner)
+    inner = strip(F.regexp_replace(strip(text, " \t:.-،"), rx(r"\s*\([^)]+\)\s*$"), ""))
+    return let(inner, lambda v: F.when(~v.isin("", ":", "-", "–"), v))
 
 
 def first_day(text: Column) -> Column:
@@ -135,7 +146,7 @@ def amount(text: Column) -> Column:
 def quantity(text: Column) -> Column:
     """An integer, 0 where there is none."""
     plain = F.translate(strip(text), _EASTERN, "0123456789")
-    return F.coalesce(F.when(plain.rlike(r"^[-+]?\d+$"), plain.try_cast("int")), F.lit(0))
+    return let(plain, lambda v: F.coalesce(F.when(v.rlike(r"^[-+]?\d+$"), v.try_cast("int")), F.lit(0)))
 
 
 def four_digit_year(text: Column) -> Column:
@@ -150,7 +161,7 @@ def day_first(text: Column) -> Column:
 
 
 def _run_heads(items: Column) -> Column:
-    return F.filter(items, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(items, i - 1)))
+    return let(items, lambda v: F.filter(v, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(v, i - 1))))
 
 
 def dedupe_lines(text: Column) -> Column:

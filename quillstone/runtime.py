@@ -45,6 +45,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def once(udf):
+    """A Python function that the optimizer may not copy.
+
+    Filters and projections over its output would otherwise each run it again.
+    """
+    return udf.asNondeterministic()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: spark.checkpoint.dir.
 
