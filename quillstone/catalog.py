@@ -259,20 +259,23 @@ def _html(spark: SparkSession, sf: str, heads: list[str], cells: list[Column | s
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit(f"<table>\n<thead><tr>{th}</tr></thead><tbody>"), rows, F.lit(f"{extra}</tbody></table>")).alias("html"))
 
 
-_CODE = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+def _code() -> Column:
+    return F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+
+
 _SQL_CODE = "l_linenumber || '-' || l_partkey || '-' || l_suppkey"
 
 
 @query(f"""
 SELECT l_orderkey, format('{{:,.3f}}', l_extendedprice) AS price, 'خدمة ' || l_returnflag AS service_name, {_SQL_CODE} AS code, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty FROM lineitem""")
 def q16_table_invoice(spark: SparkSession, sf: str) -> DataFrame:
-    html = _html(spark, sf, ["القيمة", "البيان", "الرمز", "ت"], [F.format_number("l_extendedprice", 2), F.concat(F.lit("خدمة "), "l_returnflag"), _CODE, F.col("l_quantity").cast("int").cast("string")], "<tr><td colspan=3>x</td><td>1</td></tr><tr><td>المجموع</td><td></td><td></td><td></td></tr><tr><td>1</td></tr>")
+    html = _html(spark, sf, ["القيمة", "البيان", "الرمز", "ت"], [F.format_number("l_extendedprice", 2), F.concat(F.lit("خدمة "), "l_returnflag"), _code(), F.col("l_quantity").cast("int").cast("string")], "<tr><td colspan=3>x</td><td>1</td></tr><tr><td>المجموع</td><td></td><td></td><td></td></tr><tr><td>1</td></tr>")
     return tables.invoice_entries(html).select("l_orderkey", *(F.element_at("entry", n).alias(n) for n in ("price", "service_name", "code", "qty")))
 
 
 def _service(spark: SparkSession, sf: str, width: int) -> DataFrame:
     money, n = F.format_number("l_extendedprice", 2), F.col("l_quantity").cast("int").cast("string")
-    named = {"company_price": money, "patient_price": F.lit("5"), "net_price": F.lit("x"), "unit_price": money, "qty": n, "service_name": F.concat(F.lit("تحليل<br>"), "l_returnflag"), "code": _CODE}
+    named = {"company_price": money, "patient_price": F.lit("5"), "net_price": F.lit("x"), "unit_price": money, "qty": n, "service_name": F.concat(F.lit("تحليل<br>"), "l_returnflag"), "code": _code()}
     cells = [named.get(c, F.lit(c)) for c in tables.SERVICE_COLUMNS[width]]
     blank = "<td></td>" * (width - 1)
     html = _html(spark, sf, [f"h{i}" for i in range(width)], cells, f"<tr>{blank}<td></td></tr><tr><td>المبلغ الإجمالي</td>{blank}</tr><tr><td>1</td></tr>")
@@ -299,7 +302,7 @@ def q17_table_service11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT l_orderkey, l_returnflag AS a, {_SQL_CODE} AS b, '' AS c FROM lineitem")
 def q53_table_raw(spark: SparkSession, sf: str) -> DataFrame:
-    html = _html(spark, sf, ["a", "b", "c"], [F.col("l_returnflag"), _CODE])
+    html = _html(spark, sf, ["a", "b", "c"], [F.col("l_returnflag"), _code()])
     return tables.raw_entries(html).select("l_orderkey", *(F.element_at("entry", n).alias(n) for n in "abc"))
 
 
@@ -325,7 +328,7 @@ _FLAGS = {"A": "عمليات", "N": "تحاليل", "R": "أدوية"}
 def q20_section_rows(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     name = F.when(F.col("l_returnflag") == "A", _FLAGS["A"]).when(F.col("l_returnflag") == "N", _FLAGS["N"]).otherwise(_FLAGS["R"])
-    items = li.select("l_orderkey", F.col("l_returnflag").alias("flag"), F.lit(1).alias("rank"), _CODE.alias("code"), F.array(F.lit("1"), F.lit("x"), _CODE).alias("cells"))
+    items = li.select("l_orderkey", F.col("l_returnflag").alias("flag"), F.lit(1).alias("rank"), _code().alias("code"), F.array(F.lit("1"), F.lit("x"), _code()).alias("cells"))
     heads = li.select("l_orderkey", F.col("l_returnflag").alias("flag"), F.lit(0).alias("rank"), F.lit("").alias("code"), F.array(F.lit(""), F.concat(F.lit("<b>"), name, F.lit("</b>")), F.lit(" ")).alias("cells")).distinct()
     return assemble.name_sections(items.unionByName(heads), "cells", ["l_orderkey"], ["flag", "rank", "code"]).select("l_orderkey", "code", "section_name")
 
@@ -354,7 +357,7 @@ def q22_assemble_docs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT l_orderkey, l_returnflag AS section_name, count(*) AS n_items, string_agg({_SQL_CODE}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS codes FROM lineitem GROUP BY ALL")
 def q23_merge_sections(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").withColumn("section_name", F.col("l_returnflag"))
-    return assemble.merge_sections(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], _CODE).select("l_orderkey", "section_name", long(F.size("items")).alias("n_items"), F.array_join("items", ",").alias("codes"))
+    return assemble.merge_sections(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], _code()).select("l_orderkey", "section_name", long(F.size("items")).alias("n_items"), F.array_join("items", ",").alias("codes"))
 
 
 @query("""
@@ -362,7 +365,7 @@ SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN n END AS uncoded, n AS labe
 def q24_section_subtotal(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     last = li.groupBy("l_orderkey").agg(F.count("*").alias("value")).select("l_orderkey", F.lit(99).alias("at"), F.when(F.col("l_orderkey") % 2 == 1, "c").alias("code"), F.lit("الإجمالي").alias("label"), "value")
-    rows = li.select("l_orderkey", F.col("l_linenumber").alias("at"), _CODE.alias("code"), F.lit("x").alias("label"), F.lit(0).cast("bigint").alias("value")).unionByName(last)
+    rows = li.select("l_orderkey", F.col("l_linenumber").alias("at"), _code().alias("code"), F.lit("x").alias("label"), F.lit(0).cast("bigint").alias("value")).unionByName(last)
     a = assemble.last_uncoded(rows, ["l_orderkey"], ["at"], "code", "value").withColumnRenamed("section_subtotal", "uncoded")
     return a.join(assemble.labelled_total(rows, ["l_orderkey"], ["at"], "label", "value").withColumnRenamed("section_subtotal", "labelled"), "l_orderkey")
 
