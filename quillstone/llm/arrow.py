@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,28 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: idle workers of earlier stages share the machine with later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that leaves its worker small."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow where `fn` yields dicts of columns for each incoming batch."""
     prepare(df.sparkSession)
@@ -32,7 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
                 for out in fn(batch):
                     yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _fields(schema: str) -> list[str]:
@@ -89,4 +113,4 @@ def by_key(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Itera
         for out in fn(key, pa.Table.from_batches(held)):
             yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)

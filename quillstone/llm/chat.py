@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import prepare
+from quillstone.llm.arrow import prepare, tidy
 from quillstone.llm.template import compile_template
 
 #: Roles with a heading of their own; any other role is spelled out after `role=`.
@@ -109,7 +109,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, con
         if held:
             yield _formatted(held)
 
-    return placed.mapInArrow(run, FORMATTED)
+    return placed.mapInArrow(tidy(run), FORMATTED)
 
 
 def _formatted(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,4 +160,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             names = [f.split()[0] for f in DIGESTS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return placed.mapInArrow(run, DIGESTS)
+    return placed.mapInArrow(tidy(run), DIGESTS)

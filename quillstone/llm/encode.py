@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Distinct pieces held by a worker before its cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -128,8 +128,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after the other, and where each text begins (n + 1)."""
-        if self.count > CACHE_PIECES or len(self.parts) > CACHE_PIECES:
+        if self.count > CACHE_PIECES:
             self.reset()
+        if len(self.parts) > CACHE_PIECES // 2:
+            self.parts = {}
         codes = [self.codes(t) for t in texts]
         self.learn()
         whole = [i for i, c in enumerate(codes) if c is None]

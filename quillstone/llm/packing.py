@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import prepare
+from quillstone.llm.arrow import prepare, tidy
 from quillstone.llm.binpack import pack as pack_counts
 from quillstone.llm.encode import encoder
 from quillstone.llm.tokens import text_steps, with_end
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *["tokens"] * tokens])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _PIECES + ", tokens array<int>" * tokens)
+    return rows.mapInArrow(tidy(run), _PIECES + ", tokens array<int>" * tokens)
 
 
 class Places:
@@ -115,7 +115,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000, branch
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, tokens: bool = False, nodes: int = 20_000, branch: int = 8) -> DataFrame:

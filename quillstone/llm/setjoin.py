@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import by_key, prepare
+from quillstone.llm.arrow import by_key, prepare, tidy
 from quillstone.llm.components import components
 from quillstone.llm.kernel import SPACE_WORDS, chunks, mix, shingle_hashes, sorted_sets
 from quillstone.runtime import settle
@@ -42,7 +42,7 @@ from quillstone.runtime import settle
 #: Share of a block's texts that makes an n-gram a candidate for the hot list, and the list's length.
 HOT, HOT_MAX = 0.005, 1 << 16
 #: A block ends at so many texts or n-grams; a bucket should hold about so many n-grams.
-BLOCK_TEXTS, BLOCK_GRAMS, BUCKET_GRAMS = 4096, 1 << 21, 2_500_000
+BLOCK_TEXTS, BLOCK_GRAMS, BUCKET_GRAMS = 4096, 1 << 20, 1_500_000
 #: Texts of a cluster in one block; n-grams in one fragment's matrix.
 CLUSTER_BLOCK, FRAGMENT = 256, 4096
 #: Frequencies above this are ordered by hash alone; most buckets that a code can name.
@@ -97,7 +97,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
         if grams:
             yield from common()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(run, "kind int, a bigint, b bigint, c bigint, d bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(tidy(run), "kind int, a bigint, b bigint, c bigint, d bigint")
 
 
 _PACKED = "bucket int, block bigint, sizes binary, grams binary, extra binary"
@@ -174,7 +174,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: np.nd
         if texts:
             yield from flush()
 
-    return rows.select("id", "text", first.alias("b1"), second.alias("b2")).mapInArrow(run, _PACKED)
+    return rows.select("id", "text", first.alias("b1"), second.alias("b2")).mapInArrow(tidy(run), _PACKED)
 
 
 def _bytes(table: pa.Table, name: str) -> list[bytes]:

@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import by_key, map_batches, prepare
+from quillstone.llm.arrow import by_key, map_batches, prepare, tidy
 from quillstone.llm.kernel import Chunk, chunks, mix, powers, prefix_hash, span_hash
 from quillstone.runtime import settle
 
 LENGTH, GRAM = 50, 24
 CROWD = 2000
-BLOCK_STRETCHES, BLOCK_TEXTS, BUCKET_STRETCHES, BUCKET_STRINGS = 2_000_000, 20_000, 2_500_000, 100_000
+BLOCK_STRETCHES, BLOCK_TEXTS, BUCKET_STRETCHES, BUCKET_STRINGS = 1_000_000, 20_000, 1_000_000, 100_000
 _POSITION = np.uint64((1 << 24) - 1)
 _LOW32, _LOW40 = np.uint64(0xFFFFFFFF), np.uint64((1 << 40) - 1)
 
@@ -172,7 +172,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int,
         if count:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(run, _DEALT)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(tidy(run), _DEALT)
 
 
 def judge_bucket(crowd: int):

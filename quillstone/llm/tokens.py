@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import prepare
+from quillstone.llm.arrow import prepare, tidy
 from quillstone.llm.encode import encoder
 
 DATA_SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, tokens array<int>"
@@ -87,7 +87,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
         "parquet.enable.dictionary#doc_id": "false",
         "parquet.enable.dictionary#start_in_part": "false",
     }
-    placed.mapInArrow(run, DATA_SCHEMA).write.options(**options).parquet(f"{path}/data")
+    placed.mapInArrow(tidy(run), DATA_SCHEMA).write.options(**options).parquet(f"{path}/data")
     ends = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     rows, base = [], 0
     for r in sorted(ends.collect(), key=lambda r: r.part):  # one row per data file
@@ -141,4 +141,4 @@ def checksums(store: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), crc_of_lists(b.column(3))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return store.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return store.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
