@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from quillstone.operators.events import TERMINAL
 from quillstone.runtime import ship
@@ -16,45 +15,33 @@ from quillstone.runtime import ship
 STATE_HOURS = 72
 
 
-class Countdown(StatefulProcessor):
-    """T4, T5: tells once per batch when its last task has ended.
-
-    A task counts once however often it says so; both ways of ending count, so no batch hangs on
-    a failure. State goes after its time to live.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = STATE_HOURS * 3600 * 1000
-        self.seen = handle.getMapState("seen", "task_id string", "event string", ttl)
-        self.told = handle.getValueState("told", "done boolean", ttl)
-        self.count = handle.getValueState("count", "n int", ttl)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        total = 0
-        for part in rows:
-            for task, event, size in zip(part.task_id, part.event, part.total, strict=True):
-                total = max(total, int(size))
-                if not self.seen.containsKey((task,)):
-                    self.seen.updateValue((task,), (event,))
-                    n += 1
-        self.count.update((n,))
-        if n >= total and not self.told.exists():
-            self.told.update((True,))
-            yield pd.DataFrame({"batch_id": [key[0]], "done": [n], "event": ["batch_completed"]})
-
-    def close(self) -> None:
-        pass
-
-
-def batch_completions(events: DataFrame) -> DataFrame:
-    """One `batch_completed` row per batch, from a stream of (batch_id, task_id, event, total).
-
-    Needs the RocksDB state store.
+def _countdown(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Tell once when a batch's last task has ended; forget a batch after its time to live, by event time."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    tasks, told = state.get if state.exists else ([], False)
+    seen, total, last = set(tasks), 0, 0
+    for part in parts:
+        seen.update(part.task_id)
+        total = max(total, int(part.total.max()))
+        last = max(last, int(part.ts.max().timestamp() * 1000))
+    done = len(seen) >= total
+    state.update((sorted(seen), told or done))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + STATE_HOURS * 3600 * 1000)
+    if done and not told:
+        yield pd.DataFrame({"batch_id": [key[0]], "done": [len(seen)], "event": ["batch_completed"]})
+
+
+def batch_completions(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """T4, T5: one `batch_completed` row per batch, from a stream of (batch_id, task_id, event, total, ts).
+
+    State is the set of ended tasks, so redelivered events don't count twice, and both ways of
+    ending count, so no batch hangs on a failure.
     """
     ship(events.sparkSession)
-    ended = events.where(F.col("event").isin(*TERMINAL)).select("batch_id", "task_id", "event", "total")
-    return ended.groupBy("batch_id").transformWithStateInPandas(Countdown(), "batch_id string, done int, event string", "append", "processingtime")
+    ended = events.withWatermark("ts", late).where(F.col("event").isin(*TERMINAL)).select("batch_id", "task_id", "total", "ts")
+    return ended.groupBy("batch_id").applyInPandasWithState(_countdown, "batch_id string, done int, event string", "tasks array<string>, told boolean", "append", "EventTimeTimeout")
 
 
 def task_states(events: DataFrame, late: str = "72 hours") -> DataFrame:

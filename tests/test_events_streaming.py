@@ -17,14 +17,13 @@ def test_progress(spark):
 
 
 def test_completion_once_per_batch(spark, tmp_path):
-    schema = "batch_id string, task_id string, event string, total int"
+    schema = "batch_id string, task_id string, event string, total int, ts timestamp"
     src = tmp_path / "in"
     for i, rows in enumerate(([("b", "1", "completed", 2), ("b", "1", "completed", 2)], [("b", "2", "error", 2), ("c", "9", "progress", 1)], [("b", "2", "completed", 2)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"{i}"))
+        spark.createDataFrame([(*r, dt.datetime(2025, 1, 1, i)) for r in rows], schema).coalesce(1).write.parquet(str(src / f"{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    q = batches.batch_completions(stream).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = batches.batch_completions(stream).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert [tuple(r) for r in spark.table("done").collect()] == [("b", 2, "batch_completed")]
 
 
@@ -43,12 +42,11 @@ def test_json_or_raw(spark):
     assert [r.y for r in got] == ['{"a":1}', '{"raw_response":"oops"}']
 
 
-class Failing(models.OfflineModel):
-    def read(self, image, prompt, max_tokens):
-        raise RuntimeError("down")
-
-
 def test_model_errors_are_rows(spark):
+    class Failing(models.OfflineModel):
+        def read(self, image, prompt, max_tokens):
+            raise RuntimeError("down")
+
     df = spark.createDataFrame([(b"x", "p")], "image binary, prompt string")
     (r,) = models.read_pages(df, make=Failing).select(models.shown(F.col("result"), F.col("error")).alias("s")).collect()
     assert r.s == "API Error: down"
