@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -23,6 +24,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def private(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def trim() -> None:
     """Give freed memory back to the system: idle workers of earlier stages share the machine with later ones."""
     pa.default_memory_pool().release_unused()

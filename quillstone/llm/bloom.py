@@ -8,6 +8,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.arrow import private
+
 BITS = 26
 
 
@@ -48,5 +50,6 @@ def split_by_id(rows: DataFrame, key: Column, ids: DataFrame, id_name: str) -> t
     Only the latter need a join, so the bulk of a table stays where it lies.
     """
     may = maybe(rows.sparkSession.sparkContext.broadcast(build(ids, id_name)), key.cast("bigint"))
-    marked = rows.withColumn("_may", F.coalesce(may, F.lit(False)))
-    return marked.where("not _may").drop("_may"), marked.where("_may").drop("_may")
+    flag = private("may")
+    marked = rows.withColumn(flag, F.coalesce(may, F.lit(False)))
+    return marked.where(~F.col(flag)).drop(flag), marked.where(F.col(flag)).drop(flag)

@@ -81,7 +81,7 @@ def segments(parts: Iterator[tuple[str, bool]], size: int) -> Iterator[tuple[str
             mask.append({"start": at, "end": at + len(part)})
         text.append(part)
         at += len(part)
-        if at >= size and part.endswith(f"{TURN_END}\n"):
+        if at >= size and part == f"{TURN_END}\n":  # in a text it would follow a backslash
             yield "".join(text), mask
             text, mask, at = [], [], 0
     if text:

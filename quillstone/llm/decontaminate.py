@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import map_batches, prepare
+from quillstone.llm.arrow import map_batches, prepare, private
 
 WIDTH = 13
 SHARD_WORDS = 400_000
@@ -204,9 +204,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             return pa.array(out, pa.bool_())
 
         return docs.where(clean(F.col(text_col)))
-    found = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words)
-    bad = summarise(found, id_col, share).where("contaminated").select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad_id"], "left_anti")
+    found, key = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words), private("bad")
+    bad = summarise(found, id_col, share).where("contaminated").select(F.col(id_col).alias(key)).distinct()
+    return docs.join(bad, F.col(id_col).cast("bigint") == F.col(key), "left_anti")
 
 
 def list_of_two(parts: Iterator) -> list:

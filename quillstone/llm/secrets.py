@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import map_batches, prepare
+from quillstone.llm.arrow import map_batches, prepare, private
 from quillstone.runtime import fresh_path, settle
 
 #: Kinds in the order of reports, each with its pattern, the group that must be long enough, and its least length.
@@ -149,10 +149,11 @@ def without_secrets(docs: DataFrame, ledger: Ledger | None = None, id_col: str =
     Only rows whose id may be among those with findings are joined (and shuffled); the
     others pass through where they lie.
     """
-    found = settle(scan(docs, ledger, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct(), "found")
-    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), found, "_id")
+    key, blob, spans, own = (private(n) for n in ("id", "blob", "spans", "own"))
+    found = settle(scan(docs, ledger, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias(key), F.col("blob").alias(blob), F.col("spans").alias(spans)).distinct(), "found")
+    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), found, key)
     cut = F.aggregate(
-        F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))),
+        F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e")))),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda a, x: F.struct(
             F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
@@ -160,7 +161,7 @@ def without_secrets(docs: DataFrame, ledger: Ledger | None = None, id_col: str =
         ),
         lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    touched = doubtful.withColumn("_key", blob_id(F.col(text_col)))
-    touched = touched.join(found, (F.col(id_col).cast("bigint") == F.col("_id")) & (F.col("_key") == F.col("_blob")), "left")
-    touched = touched.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut))
+    touched = doubtful.withColumn(own, blob_id(F.col(text_col)))
+    touched = touched.join(found, (F.col(id_col).cast("bigint") == F.col(key)) & (F.col(own) == F.col(blob)), "left")
+    touched = touched.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(cut))
     return clear.unionByName(touched.select(docs.columns))

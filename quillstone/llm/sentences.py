@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import map_batches, prepare
+from quillstone.llm.arrow import map_batches, prepare, private
 from quillstone.llm.kernel import ALNUM_WORDS, SPACE_WORDS, Chunk, chunks, mix, powers, prefix_hash, span_hash
 from quillstone.runtime import settle
 
@@ -131,8 +131,9 @@ def summarise(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows, repeated sentences cut from their texts; other columns unchanged."""
     prepare(docs.sparkSession)
-    cut = settle(repeated_sentences(docs, id_col, text_col).where("runs is not null").select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs")).distinct(), "cut")
-    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), cut, "_id")
+    key, tie, cut_runs = private("id"), private("tie"), private("runs")
+    cut = settle(repeated_sentences(docs, id_col, text_col).where("runs is not null").select(F.col("id").alias(key), F.col("tie").alias(tie), F.col("runs").alias(cut_runs)).distinct(), "cut")
+    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), cut, key)
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
@@ -152,5 +153,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.array(out, pa.string())
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    met = doubtful.join(cut, (F.col(id_col).cast("bigint") == F.col("_id")) & (F.xxhash64(text) == F.col("_tie")), "left")
-    return clear.unionByName(met.withColumn(text_col, kept(F.col(text_col).cast("string"), F.col("_runs"))).select(docs.columns))
+    met = doubtful.join(cut, (F.col(id_col).cast("bigint") == F.col(key)) & (F.xxhash64(text) == F.col(tie)), "left")
+    return clear.unionByName(met.withColumn(text_col, kept(F.col(text_col).cast("string"), F.col(cut_runs))).select(docs.columns))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import by_key, prepare, tidy
+from quillstone.llm.arrow import by_key, prepare, private, tidy
 from quillstone.llm.components import components
 from quillstone.llm.kernel import SPACE_WORDS, chunks, mix, shingle_hashes, sorted_sets
 from quillstone.runtime import settle
@@ -336,6 +336,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Only rows whose id may be among those to drop are joined; the others stay where they lie.
     """
     found = classes(docs, id_col, text_col, width, percent)
-    drop = settle(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "drop")
-    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), drop, "_drop")
-    return clear.unionByName(doubtful.join(drop, F.col(id_col).cast("bigint") == F.col("_drop"), "left_anti"))
+    key = private("drop")
+    drop = settle(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct(), "drop")
+    clear, doubtful = bloom.split_by_id(docs, F.col(id_col), drop, key)
+    return clear.unionByName(doubtful.join(drop, F.col(id_col).cast("bigint") == F.col(key), "left_anti"))
