@@ -119,7 +119,7 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
-    """N-grams of the representatives by bucket and block; what a block is goes under bucket -1 - x."""
+    """N-grams of the representatives by bucket and block; what a block is passes under negative buckets, spread over many."""
     words, hot_held = docs.sparkSession.sparkContext.broadcast(chosen), docs.sparkSession.sparkContext.broadcast(hot)
     first, second = bloom.bit_columns(F.col("id"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
@@ -143,7 +143,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: np.nd
             common = hot[at] == v if len(hot) else np.zeros(len(v), dtype=bool)
             hot_sizes = np.bincount(doc[common], minlength=len(n)).astype("<u4")
             info = np.concatenate([np.concatenate(ids).astype("<i8"), n.astype("<i8")]).tobytes()
-            yield _packed([(-1 - block % 64, name, hot_sizes.tobytes(), at[common].astype("<u4").tobytes(), info)])
+            yield _packed([(-1 - (task * 31 + block) % 4096, name, hot_sizes.tobytes(), at[common].astype("<u4").tobytes(), info)])
             doc, v = doc[~common], v[~common]
             bucket = ((v >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")

@@ -121,7 +121,7 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int, gram: int) -> DataFrame:
-    """Stretches by bucket of their anchor; repeats inside a block are settled at once (bucket -1 - x)."""
+    """Stretches by bucket of their anchor; repeats inside a block are settled at once (negative buckets, spread over many)."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int,
             if late.any():
                 d, code = doc[late], pair_code(a[late], c[late])
                 o = np.argsort(d, kind="stable")
-                yield _batch([_row(-1 - block % 64, name, SETTLED, d[o], code[o].astype("<u8").tobytes(), b"")])
+                yield _batch([_row(-1 - (task * 31 + block) % 4096, name, SETTLED, d[o], code[o].astype("<u8").tobytes(), b"")])
             doc, a, c = doc[new], a[new], c[new]
             bucket = ((a >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((doc, bucket))
