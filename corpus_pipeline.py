@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: five stages, each over all that the last one kept.
 
 toxicity drops documents that score as toxic; near_copies keeps the least id of each group
-linked by n-gram Jaccard similarity; decontamination drops documents with benchmark
+linked by five-word Jaccard similarity of 0.8 or more; decontamination drops documents with benchmark
 passages; secrets blanks out what the scan finds; packing cuts and places the rest in
 sequences of 2048 tokens. All stages but the last return the columns of `documents`.
 """
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return setjoin.without_near_copies(docs)
+    return setjoin.without_near_copies(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
