@@ -13,8 +13,10 @@
    global order into fragments, counts the overlap of every pair in each fragment on its
    own (a product of incidence matrices) and sums the counts per pair. What it emits is a
    spanning forest of the links among its texts, never all pairs, so no link between
-   components is lost and a group of g near copies yields rows in proportion to g.
-5. Components of these links are the classes of the result.
+   components is lost, and for each text the number of documents that its links in these
+   blocks reach.
+5. Components of the forests are the classes of the result; a document's links are the other
+   documents with its set and the sum of its text's numbers.
 
 Hashes have 64 bits in sets and fingerprints and 47 bits in step 2; all that follows is exact on
 them.
@@ -268,20 +270,29 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
 
 
 def link_blocks(percent: int):
-    """A spanning forest of the links between two blocks of a cluster (or within one)."""
+    """A spanning forest (u, v) of the links between two blocks of a cluster (or within one).
+
+    Rows without v: u has links to `reached` documents there.
+    """
 
     def fn(key: tuple, table: pa.Table) -> Iterator[dict]:
         _, i, j = key
         ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        side = table.column("b").to_numpy()
+        side, held = table.column("b").to_numpy(), table.column("held").to_numpy()
         codes = [np.frombuffer(c, "<u8") for c in table.column("codes").to_pylist()]
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         if len(left) and len(right):
             rows = [codes[k] for k in left.tolist()]
             both = overlaps(rows, rows if i == j else [codes[k] for k in right.tolist()])
             linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+            if i == j:
+                np.fill_diagonal(linked, False)
+            reached = np.zeros(len(ids), dtype=np.int64)
+            reached[left] = linked @ held[right]
             if i == j:
                 linked = np.triu(linked, 1)
+            else:
+                reached[right] = held[left] @ linked
             parent = list(range(len(ids)))
             us, vs = [], []
             for a, b in np.argwhere(linked).tolist():
@@ -296,17 +307,22 @@ def link_blocks(percent: int):
                     us.append(int(ids[a]))
                     vs.append(int(ids[b]))
             if us:
-                yield {"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())}
+                yield {"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64()), "reached": pa.nulls(len(us), pa.int64())}
+                some = np.flatnonzero(reached)
+                yield {"u": pa.array(ids[some]), "v": pa.nulls(len(some), pa.int64()), "reached": pa.array(reached[some])}
 
     return fn
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """id, n_shingles, rep (least id with this set) and component_id of every row with an id."""
+    """id, n_shingles, rep (least id with this set), component_id and n_links of every row with an id.
+
+    n_links is the number of other documents that the row's set is linked with.
+    """
     spark = docs.sparkSession
     everything = settle(profile(docs, id_col, text_col, width), "profile")
     texts = everything.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("f1"), F.col("d").alias("f2"))
-    one = texts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    one = texts.where("n > 0").distinct().groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("held"))
     reps = settle(one, "reps")
     totals = reps.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
     common = everything.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= max(8, HOT / 2 * totals.texts)).orderBy(F.desc("n"), "a").limit(HOT_MAX).toArrow()  # a bounded list
@@ -321,13 +337,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     members = near.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(near.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     sizes = near.groupBy(F.col("v").alias("root")).agg((F.floor(F.count("*") / CLUSTER_BLOCK) + 1).cast("int").alias("blocks"))
     placed = members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # what a false positive let through stands for no document
+    held = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("held").alias("held"))
+    placed = placed.join(held, "id", "left").withColumn("held", F.coalesce("held", F.lit(0)).cast("bigint"))
     pairs = placed.join(able.select("id", "n", "codes").dropDuplicates(["id"]), "id").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("root", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "id", "n", "codes")
-    links = by_key(pairs, ["root", "i", "j"], link_blocks(percent), "u bigint, v bigint")
-    joined = components(links)
-    named = texts.where("n > 0").join(reps, ["n", "f1", "f2"]).join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").select("id", "n", "rep", F.coalesce("v", "rep").alias("component_id"))
-    alone = texts.where("n = 0").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component_id"))
-    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "rep", "component_id")
+    pairs = pairs.select("root", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "id", "n", "held", "codes")
+    links = settle(by_key(pairs, ["root", "i", "j"], link_blocks(percent), "u bigint, v bigint, reached bigint"), "links")
+    joined = components(links.where("v is not null").select("u", "v"))
+    reached = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("reached").alias("reached"))
+    linked = F.col("held") - 1 + F.coalesce("reached", F.lit(0))
+    named = texts.where("n > 0").join(reps, ["n", "f1", "f2"]).join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").join(reached, "rep", "left").select("id", "n", "rep", F.coalesce("v", "rep").alias("component_id"), linked.alias("n_links"))
+    alone = texts.where("n = 0").select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "rep", "component_id", "n_links")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
