@@ -28,12 +28,15 @@ from quillstone.llm import bloom
 from quillstone.llm.arrow import map_batches, prepare, private
 from quillstone.runtime import fresh_path, settle
 
+#: A private key up to its end line or, if that is missing, over the headers and lines of base64 that follow (line ends may be escaped).
+_KEY_LINES = r"(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{1,15}={0,2}(?![^\s\\\"']))?"
+_KEY = r"-----BEGIN ([A-Z ]*PRIVATE KEY-----)(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1|" + _KEY_LINES + r")?"
 #: Kinds in the order of reports, each with its pattern, the group that must be long enough, and its least length.
 RULES = (
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("pem", _KEY, 0, 20),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("forge", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,})", 0, 20),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
