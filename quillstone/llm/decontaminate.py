@@ -12,7 +12,7 @@ or the driver holds grows without bound.
 
 Defined results: a null or wordless document has no words and is clean; a null or
 wordless item matches nothing; an item id given to several rows counts once; repeated
-items all count; extra columns of either table are ignored; an empty benchmark leaves
+items all count; rows that share an id, or have none, are judged each on its own; extra columns of either table are ignored; an empty benchmark leaves
 every document clean.
 """
 
@@ -108,10 +108,16 @@ def original_offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[s][0], at[e - 1][1]) for s, e in runs]
 
 
-_SCHEMA = "{id} bigint, n_words bigint, runs array<array<int>>, spans array<array<int>>, items array<string>"
+_SCHEMA = "{id} bigint, {tie} string, n_words bigint, runs array<array<int>>, spans array<array<int>>, items array<string>"
 
 
-def _scan_shard(docs: DataFrame, items: list, id_col: str, text_col: str, width: int) -> DataFrame:
+def _text_key(text_col: str):
+    """Tells rows of one id apart."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
+def _scan_shard(docs: DataFrame, items: list, id_col: str, text_col: str, width: int, tie: str | None = None) -> DataFrame:
+    """Results per row; `tie` names a column for the hash of its text."""
     held = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -125,10 +131,14 @@ def _scan_shard(docs: DataFrame, items: list, id_col: str, text_col: str, width:
             out["runs"].append(runs)
             out["spans"].append(original_offsets(text, runs) if runs else [])
             out["items"].append(sorted(map(str, ids)))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
+        if tie:
+            out = {id_col: out.pop(id_col), tie: batch.column(2).to_pylist(), **out}
+        kinds = (pa.int64(), *[pa.string()] * bool(tie), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
         yield {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)}
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")), run, _SCHEMA.format(id=id_col))
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *([_text_key(text_col).alias(tie)] if tie else []))
+    schema = _SCHEMA.format(id=id_col, tie=tie)
+    return map_batches(rows, run, schema if tie else schema.replace(" None string,", ""))
 
 
 def benchmark_shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[list]:
@@ -147,8 +157,15 @@ def benchmark_shards(benchmark: DataFrame, item_col: str, text_col: str, shard_w
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per document row: n_words, hit word runs, their spans in the text, and ids of the items found."""
-    parts = [_scan_shard(docs, shard, id_col, text_col, width) for shard in benchmark_shards(benchmark, item_col, item_text_col, shard_words)]
-    if len(parts) == 1:
+    tie = private("tie")
+    return _contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words, tie).drop(tie)
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, shard_words: int, tie: str) -> DataFrame:
+    """With several shards, also the hash of the row's text as `tie`."""
+    several = len(list_of_two(benchmark_shards(benchmark, item_col, item_text_col, shard_words))) > 1
+    parts = [_scan_shard(docs, shard, id_col, text_col, width, tie if several else None) for shard in benchmark_shards(benchmark, item_col, item_text_col, shard_words)]
+    if not several:
         return parts[0]
     joined = parts[0]
     for p in parts[1:]:
@@ -161,12 +178,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], r[1])))),
         ).otherwise(F.concat(acc, F.array(r))),
     )
-    return joined.groupBy(id_col).agg(
+    one = joined.groupBy(id_col, tie).agg(
         F.first("n_words").alias("n_words"),
         merged.alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        # every row is in every part once
+        (F.count("*") / len(parts)).cast("int").alias(copies := private("copies")),
     )
+    return one.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
 
 
 def summarise(found: DataFrame, id_col: str = "doc_id", share: int = SHARE) -> DataFrame:
@@ -204,9 +224,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             return pa.array(out, pa.bool_())
 
         return docs.where(clean(F.col(text_col)))
-    found, key = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words), private("bad")
-    bad = summarise(found, id_col, share).where("contaminated").select(F.col(id_col).alias(key)).distinct()
-    return docs.join(bad, F.col(id_col).cast("bigint") == F.col(key), "left_anti")
+    key, tie = private("bad"), private("tie")
+    found = _contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words, tie)
+    hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + (r[1] - r[0]).cast("bigint"))
+    bad = found.where((hit > 0) & (hit * share >= F.col("n_words"))).select(F.col(id_col).alias(key), tie).distinct()
+    return docs.join(bad, F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (_text_key(text_col) == F.col(tie)), "left_anti")
 
 
 def list_of_two(parts: Iterator) -> list:
