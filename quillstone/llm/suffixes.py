@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with longest-previous-factor arrays.
+"""Removal of repeated byte strings by suffixes sorted in buckets.
 
 A byte goes if a string of `LENGTH` bytes that covers it also starts in a document with a
 smaller id. One suffix array of the whole corpus would be many times its size, so suffixes
@@ -10,12 +10,12 @@ are first dealt into buckets that equal strings always share:
    repeats are settled inside the block.
 2. A bucket tells which stretches stand whole in an earlier document (all their bytes go) and,
    where an anchor has several different stretches, asks for the bytes of the first of each.
-3. Those strings meet by anchor. Their suffixes are sorted, and for each one the previous and
-   next positions in suffix order that belong to an earlier document give the longest
-   previous factor, up to `LENGTH`; suffixes that reach it mark their bytes.
+3. Those strings meet by anchor. Their suffixes are sorted and grouped where `LENGTH` bytes are
+   equal; suffixes with an earlier document in their group mark their bytes. How long shorter
+   factors are doesn't matter and isn't computed.
    Anchors with more than `CROWD` different stretches (the ends of a very common passage) would
    make one bucket too large: their suffixes are told apart by the hash of their first
-   `LENGTH` bytes, a deeper bucket in which the smallest id is the previous factor.
+   `LENGTH` bytes, a deeper bucket in which only the smallest id keeps its bytes.
 4. Marked spans are merged per document and cut from its text.
 
 Stretches are compared by 72 bits of hashes or by their bytes, windows of crowded anchors by 64 bits.
@@ -293,10 +293,10 @@ def mark(length: int, gram: int):
 
 
 def longest_previous(words: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """Longest previous factor of each suffix, up to `length`: what it shares with suffixes of lesser owners.
+    """`length` for each suffix whose first `length` bytes also begin a suffix of a lesser owner, else 0.
 
     `words` holds the first `length` bytes of each suffix as big-endian 64-bit columns (padded
-    with zeros). The nearest lesser owners before and after in suffix order share most.
+    with zeros). Shorter factors aren't told apart.
     """
     n = len(owner)
     order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
