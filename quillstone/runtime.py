@@ -56,7 +56,7 @@ def once(udf):
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is set.
+    Only where Spark runs on one machine (tests, a laptop) and names none a temporary folder is set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -64,6 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillstone-shared-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
@@ -77,18 +79,34 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillstone-{label}-{uuid.uuid4().hex}"
 
 
+_SETTLED: list[str] = []
+
+
 def settle(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts lineage on storage that survives a lost executor, and stops an
-    expensive input from being computed twice.
+    expensive input from being computed twice. `forget` deletes all such tables.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.options(**options).parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete every table that settle() wrote for this driver, once results are written; returns how many.
+
+    A result is lazy and may still read settled tables, so the caller says when.
+    """
+    jvm, done = spark.sparkContext._jvm, 0
+    while _SETTLED:
+        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by settle() that nothing reads any more."""
     spark = df.sparkSession
