@@ -1,27 +1,39 @@
 """Token ids of whole texts with a public tokenizer, through a cache of pieces.
 
-Both supported tokenizers cut a text at white space before merging, so a piece between
-white space always has the same ids. `Encoder` lets the tokenizers library encode each
-distinct piece once and looks up the rest. Texts in which white space could matter
-(tabs, runs of blanks, control characters, markers such as `<|endoftext|>`) go to the
-library whole, so the ids always equal those of encoding the text at once.
+The tokenizers that `FITTING` names cut a text at white space before merging, so a piece
+between white space always has the same ids. `Encoder` has the tokenizers library encode a
+piece when it first meets it and joins the ids of known pieces. Texts in which white space
+could matter (tabs, runs of blanks, control characters, markers such as `<|endoftext|>`), and
+all texts of other tokenizers, go to the library whole, so the ids always equal those of
+encoding the text at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
+import sys
+from array import array
 
 import numpy as np
 
-#: Distinct pieces held by a worker before its cache starts anew.
-CACHE_PIECES = 250_000
+#: Pieces in a generation of the cache, and the longest piece that is kept (in characters).
+GENERATION, LONGEST = 400_000, 40
 
+#: How the fitting tokenizers cut texts, and whether a blank belongs to the piece after it.
+FITTING = [
+    ({"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None, True),
+    (
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        False,
+    ),
+]
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A piece of one Latin word with plain punctuation after it: the pre-tokenizers cut it in two.
-_SIMPLE = re.compile(rf"([ \n]?)([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
+#: Plain punctuation after a word of Latin letters: both tokenizers cut between the two.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,135 +46,85 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Codes(dict):
-    """Piece -> small number; new pieces wait in `fresh` to be encoded together."""
+def packed(ids) -> bytes:
+    """ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
-    def __init__(self, owner: Encoder, prefix: str):
-        super().__init__()
-        self.owner, self.prefix = owner, prefix
 
-    def __missing__(self, word: str) -> int:
-        owner = self.owner
-        code = self[word] = owner.count
-        owner.count += 1
-        owner.fresh.append(word if word[:1] == "\n" else self.prefix + word)
-        return code
+class _Pieces(dict):
+    """Piece -> packed ids. Pieces of the last generation that are met again move into this one.
 
+    `before` is what stands between a piece and the one ahead of it: nothing or a blank.
+    """
+
+    def __init__(self, owner: Encoder, before: str, old: dict | None = None):
+        super().__init__()
+        self.owner, self.old = owner, old or {}
+        self.before, self.lead = before, before and _LETTERS[0x20]
+        self.tokenize, self.glued = owner.model.tokenize, owner.glued
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def learn(self, piece: str) -> bytes:
+        word = piece.rstrip(_TAIL)
+        plain = word.isascii()
+        if not (word.isalpha() and (plain or _LATIN.fullmatch(word))):
+            if piece[:1] == "\n":  # after a blank that stands for nothing
+                return self.owner.line + self.owner.bare[piece[1:]]
+            return packed(self.owner.tokenizer.encode(self.before + piece, add_special_tokens=False).ids)
+        if len(word) < len(piece):
+            return self[word] + self.owner.bare[piece[len(word) :]]
+        if not self.glued and not word.islower():
+            return self[word.lower()]
+        letters = word if plain else word.encode().decode("latin-1").translate(_LETTERS)
+        return packed([t.id for t in self.tokenize(self.lead + letters)])
 
-class Encoder:
-    """ids of texts; `glued` says whether a blank belongs to the piece after it."""
 
-    def __init__(self, path: str, glued: bool):
+class Encoder:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.glued = Tokenizer.from_file(path), glued
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        own = [glued for cut, normalizer, glued in FITTING if spec["pre_tokenizer"] == cut and spec["normalizer"] == normalizer]
+        plain = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(a["content"].startswith("<|") for a in spec["added_tokens"])
+        self.glued = own[0] if own and plain else None
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.reset()
-
-    def reset(self) -> None:
-        self.bare, self.spaced = _Codes(self, ""), _Codes(self, " ")
-        self.parts: dict[str, list[int]] = {}
-        self.fresh: list[str] = []
-        self.count = 0
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.at = np.zeros((1 << 14, 2), dtype=np.int64)
-
-    def part(self, text: str) -> list[int]:
-        """ids of one pre-token."""
-        known = self.parts.get(text)
-        if known is None:
-            letters = text.encode().decode("latin-1").translate(_LETTERS)
-            known = self.parts[text] = [t.id for t in self.model.tokenize(letters)]
-        return known
-
-    def ids_of(self, pieces: list[str]) -> list[list[int]]:
-        out: list = []
-        rest = []
-        for p in pieces:
-            m = _SIMPLE.fullmatch(p)
-            if m is None:
-                rest.append((len(out), p))
-                out.append(None)
-                continue
-            lead, word, tail = m.groups()
-            if self.glued:
-                ids = self.part(lead + word) if lead != "\n" else self.part(lead) + self.part(word)
-            else:
-                ids = self.part(word.lower())
-            out.append(ids + self.part(tail) if tail else ids)
-        for (i, _), e in zip(rest, self.tokenizer.encode_batch([p for _, p in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    def learn(self) -> None:
-        if not self.fresh:
-            return
-        done = self.count - len(self.fresh)
-        parts = self.ids_of(self.fresh)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        total = int(lengths.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, len(self.flat)), dtype=np.uint32)])
-        if self.count > len(self.at):
-            self.at = np.concatenate([self.at[:done], np.zeros((max(self.count - done, len(self.at)), 2), dtype=np.int64)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(parts), np.uint32, total)
-        self.at[done : self.count, 0] = self.used + np.cumsum(lengths) - lengths
-        self.at[done : self.count, 1] = lengths
-        self.used += total
-        self.fresh = []
-
-    def codes(self, text: str) -> list[int] | None:
-        """Piece codes of a text, or None if the library must see it whole."""
+        self.bare, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
+        self.line = packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        """All ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
-        if "<|" in text or not text.replace("\n", "").isprintable():
-            return None
+            return b""
+        whole = self.glued is None or "<|" in text or not text.replace("\n", "").isprintable()
+        if self.glued and not whole:
+            whole = text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text
+        if whole:
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self.bare) > GENERATION:
+            self.bare = _Pieces(self, "", dict(self.bare))
+        if len(self.spaced) > GENERATION:
+            self.spaced = _Pieces(self, " ", dict(self.spaced))
         if not self.glued:
-            return list(map(self.bare.__getitem__, text.split()))
-        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-            return None
+            return b"".join(map(self.bare.__getitem__, text.split()))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return [self.bare[first], *map(self.spaced.__getitem__, rest)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (uint32) one text after the other, and where each text begins (n + 1)."""
-        if self.count > CACHE_PIECES:
-            self.reset()
-        if len(self.parts) > CACHE_PIECES // 2:
-            self.parts = {}
-        codes = [self.codes(t) for t in texts]
-        self.learn()
-        whole = [i for i, c in enumerate(codes) if c is None]
-        known = [c or [] for c in codes]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        every = np.fromiter(chain.from_iterable(known), np.int64, int(sizes.sum()))
-        place, lengths = self.at[every, 0], self.at[every, 1]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(place - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        if whole:
-            done = self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)
-            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            for i, e in zip(whole, done, strict=True):
-                parts[i] = np.array(e.ids, dtype=np.uint32)
-            ids = np.concatenate(parts)
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, bounds
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per tokenizer file and Python worker."""
     if path not in _ENCODERS:
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        drops_white_space = spec["pre_tokenizer"]["type"] == "Sequence"
-        _ENCODERS[path] = Encoder(path, glued=not drops_white_space)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

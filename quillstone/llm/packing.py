@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.arrow import prepare, tidy
 from quillstone.llm.binpack import pack as pack_counts
 from quillstone.llm.encode import encoder
-from quillstone.llm.tokens import text_steps, with_end
+from quillstone.llm.tokens import encoded, id_lists, text_steps
 from quillstone.runtime import settle
 
 CAPACITY = 2048
@@ -42,14 +42,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         enc, part, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             for first, texts in text_steps(batch.column(1)):
-                ids, bounds = with_end(*enc.encode(texts), end_id)
+                ids, bounds = encoded(enc, texts, end_id)
                 sizes = np.diff(bounds)
                 number = -(-sizes // capacity)
                 doc = np.repeat(np.arange(len(sizes)), number)
                 piece = np.arange(len(doc)) - (np.cumsum(number) - number)[doc]
                 start = piece * capacity
                 length = np.minimum(sizes[doc] - start, capacity)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids)
                 place = bounds[:-1][doc] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(place.tolist(), length.tolist(), strict=True)]
                 order = np.argsort(length, kind="stable")
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 np.add.at(seen, length, 1)
                 columns = [batch.column(0).slice(first, len(texts)).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, dtype=np.int32)), pa.array(nth)]
                 if tokens:  # the pieces cover the ids in order
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([place, bounds[-1:]]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    columns.append(id_lists(ids, np.concatenate([place, bounds[-1:]])))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *["tokens"] * tokens])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrow import prepare, tidy
-from quillstone.llm.encode import encoder
+from quillstone.llm.encode import Encoder, encoder, packed
 
 DATA_SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, tokens array<int>"
 #: Texts encoded at once.
@@ -45,12 +45,15 @@ def text_steps(column: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int,
         yield begin, texts
 
 
-def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Append `end_id` to each text's ids."""
-    n = len(bounds) - 1
-    out = np.full(len(ids) + n, end_id, dtype=np.uint32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
-    return out, bounds + np.arange(n + 1)
+def encoded(enc: Encoder, texts: list[str], end_id: int) -> tuple[bytes, np.ndarray]:
+    """All ids of the texts, each with `end_id` behind it, as unsigned 32-bit integers, and where each text begins (n + 1)."""
+    end = packed([end_id])
+    parts = [enc.encode(t) + end for t in texts]
+    return b"".join(parts), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
+
+
+def id_lists(ids: bytes, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)]))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, row_group_mb: int = 32, page_kb: int = 128) -> None:
@@ -63,7 +66,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
         enc, part, place = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, texts in text_steps(batch.column(1)):
-                ids, bounds = with_end(*enc.encode(texts), end_id)
+                ids, bounds = encoded(enc, texts, end_id)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -71,7 +74,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
                         pa.array(np.full(n, part, dtype=np.int32)),
                         pa.array(bounds[:-1] + place),
                         pa.array(np.diff(bounds)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        id_lists(ids, bounds),
                     ],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"],
                 )

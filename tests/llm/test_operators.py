@@ -1,16 +1,17 @@
 """Each operator against a brute-force version, and on odd inputs."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import binpack, chat, decontaminate, packing, quality, secrets, sentences, setjoin, suffixes, template, tokens, toxicity
-from quillstone.llm.encode import encoder
+from quillstone.llm import binpack, chat, decontaminate, encode, packing, quality, secrets, sentences, setjoin, suffixes, template, tokens, toxicity
 from quillstone.llm.queries import tokenizer_file
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -186,22 +187,57 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find_contamination(none, b).count() == 0
 
 
-ODD = ["a  b", " x", "tab\there", "l\n\nm", "it's, we'll!", "<|endoftext|> z", "ﬁ Ⅳ", "a b", "", "Ünïcode. (x) [y]", "12 3456", "é é"]
+ODD = ["a  b", " x", "tab\there", "l\n\nm", "l\nm.\n(n", "it's, we'll!", "it's. IT'S, 'tis", "<|endoftext|> z", "ﬁ Ⅳ", "a b", "", "Ünïcode. (x) [y]", "12 3456", "é é", "...", "a... b?! c", "Σίσυφος ΣΑΣ", "\U0001f600. x", "x" * 5000, "_a_ a_b", "İstanbul. ſ", "½. a²,"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_library(name):
-    e = encoder(tokenizer_file(name))
+def test_encoder_equals_library(name, monkeypatch):
+    monkeypatch.setattr(encode, "GENERATION", 5)  # pieces leave and come back
+    e = encode.Encoder(tokenizer_file(name))
     texts = [x or "" for _, x in TEXTS] + ODD
-    ids, bounds = e.encode(texts)
-    for k, x in enumerate(texts):
-        assert ids[bounds[k] : bounds[k + 1]].tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("aZé漢1½ .,'\"\n-_"), rng.integers(1, 40))) for _ in range(2000)]
+    for x in texts:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_encoder_of_another_tokenizer(tmp_path):
+    """One that cuts in another way has its texts encoded whole."""
+    spec = json.loads(open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8").read())
+    spec["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    e = encode.Encoder(str(tmp_path / "t.json"))
+    assert e.glued is None
+    for x in (LONG, *ODD):
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_token_files(spark, tmp_path):
+    """Encodings, row groups and page indexes as the store promises them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(map(chr, 97 + w)) for w in rng.integers(0, 26, (200, 5)))) for i in range(4000)]
+    tokens.write_store(spark.createDataFrame(rows, DDL).repartition(2), f"file://{tmp_path}/s", tokenizer_file("byte_bpe_50k.json"), row_group_mb=1, page_kb=16)
+    last, groups = -1, 0
+    for f in sorted((tmp_path / "s" / "data").glob("*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            row = meta.row_group(g)
+            groups += 1
+            columns = {row.column(k).path_in_schema.split(".")[0]: row.column(k) for k in range(row.num_columns)}
+            assert all(c.has_offset_index and c.compression == "ZSTD" for c in columns.values())
+            assert all(columns[n].has_column_index for n in ("doc_id", "start_in_part", "n_tokens"))
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["start_in_part"].encodings
+            assert columns["tokens"].has_dictionary_page
+            assert "RLE_DICTIONARY" in columns["tokens"].encodings
+            assert columns["doc_id"].statistics.min > last  # ascending through groups and files
+            last = columns["doc_id"].statistics.max
+    assert groups > 4
 
 
 def test_token_store(spark, docs, none, tmp_path):
     path = f"file://{tmp_path}/store"
     tokens.write_store(docs, path, tokenizer_file("byte_bpe_50k.json"))
-    t = encoder(tokenizer_file("byte_bpe_50k.json")).tokenizer
+    t = encode.Encoder(tokenizer_file("byte_bpe_50k.json")).tokenizer
     at, want, stream = 0, {}, []
     for i, x in sorted(TEXTS):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
@@ -250,7 +286,7 @@ def test_bin_completion():
 
 def test_packing(docs, none):
     out = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=64, tokens=True).collect()
-    t = encoder(tokenizer_file("word_bpe_49k.json")).tokenizer
+    t = encode.Encoder(tokenizer_file("word_bpe_49k.json")).tokenizer
     for i, x in TEXTS:
         own = sorted((r for r in out if r.doc_id == i), key=lambda r: r.piece)
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
