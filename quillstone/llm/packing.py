@@ -7,8 +7,8 @@ rank among the pieces of its length. Ranks come from counts per input partition,
 length, however common, is gathered in one task.
 
 Defined results: a null or empty text has only the end id and is a piece of length 1;
-equal ids and equal texts are all packed; an empty table packs nothing; other columns are
-ignored.
+equal ids and equal texts are all packed, and so are rows without an id; a very long text
+is encoded in one worker and cut; an empty table packs nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,14 +96,15 @@ class Places:
         return sequence + within // copies, offset + within % copies * length
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000, branch: int = 8) -> DataFrame:
-    """Add sequence_id and offset to settled pieces."""
+def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> DataFrame:
+    """Add sequence_id and offset to settled pieces, and beside each row the number of sequences and its lower bound."""
     spark = cut.sparkSession
     counts = settle(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         histogram[r.length] = r.n
-    held = spark.sparkContext.broadcast(Places(pack_counts(histogram, capacity, nodes, branch), capacity))
+    solved = pack_counts(histogram, capacity, nodes)
+    held = spark.sparkContext.broadcast(Places(solved.patterns, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("base"))
     ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
@@ -115,17 +116,12 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000, branch
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id bigint, offset bigint")
+    placed = ranked.mapInArrow(tidy(run), f"{schema}, sequence_id bigint, offset bigint")
+    return placed.withColumns({"n_sequences": F.lit(solved.bins).cast("bigint"), "least_sequences": F.lit(solved.bins if solved.proven else solved.bound).cast("bigint")})
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, tokens: bool = False, nodes: int = 20_000, branch: int = 8) -> DataFrame:
-    """Pieces with their ids' checksum (and the ids), sequence and place in it."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, tokens: bool = False, nodes: int = 20_000) -> DataFrame:
+    """Pieces with their ids' checksum (and the ids), sequence and place in it; `n_sequences` of all and their lower bound."""
     cut = settle(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, tokens), "pieces", compression="zstd")
-    placed = assign(cut, capacity, nodes, branch)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["tokens"] * tokens)
-
-
-def sequences(placed: DataFrame) -> DataFrame:
-    """One row per sequence with its ids and the documents in it (needs `tokens`)."""
-    rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "tokens"))).alias("all"))
-    return rows.select("sequence_id", F.flatten("all.tokens").alias("tokens"), F.col("all.doc_id").alias("doc_ids"), F.col("all.offset").alias("offsets"))
+    placed = assign(cut, capacity, nodes)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "least_sequences", *["tokens"] * tokens)

@@ -267,21 +267,45 @@ def test_suffix_dedup(docs, none):
     assert suffixes.cut(none).count() == 0
 
 
+def least_bins(items, capacity):
+    """The least number of bins over all orders, by subsets."""
+    n = len(items)
+    best = [(0, capacity)] + [(n + 1, 0)] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        best[m] = min((k, u + x) if u + x <= capacity else (k + 1, x) for i, x in enumerate(items) if m >> i & 1 for k, u in [best[m ^ (1 << i)]])
+    return best[-1][0]
+
+
 def test_bin_completion():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        cap = int(rng.choice([10, 20, 50]))
-        counts = np.bincount(rng.integers(1, cap + 1, rng.integers(1, 50)), minlength=cap + 1)
+    seen = 0
+    while seen < 300:  # instances in which best fit misses the bound
+        capacity = int(rng.choice([12, 20, 30, 60, 100]))
+        items = rng.integers(max(1, capacity // 12), capacity * 2 // 3, rng.integers(5, 11)).tolist()
+        counts = np.bincount(items, minlength=capacity + 1)
+        if sum(n for _, n in binpack.best_fit(counts, capacity)) == binpack.lower_bound(counts, capacity):
+            continue
+        seen += 1
+        done = binpack.pack(counts, capacity)
         used = np.zeros_like(counts)
-        n = 0
-        for pattern, times in binpack.pack(counts, cap):
-            assert sum(pattern) <= cap
-            n += times
-            np.add.at(used, list(pattern), times)
+        for pattern, times in done.patterns:
+            assert sum(pattern) <= capacity
+            np.add.at(used, [*pattern] * times, 1)
         assert (used == counts).all()
-        assert binpack.lower_bound(counts, cap) <= n <= sum(k for _, k in binpack.best_fit(counts, cap))
-    # best fit decreasing needs four bins here
-    assert sum(n for _, n in binpack.pack(np.bincount([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], minlength=61), 60)) == 3
+        assert done.proven
+        assert done.bins == sum(n for _, n in done.patterns) == least_bins(items, capacity) >= done.bound
+    # many copies, and a search that is cut short
+    many = binpack.pack(np.bincount([5, 5, 27, 9, 26, 15, 19, 19, 19, 25, 23, 19, 26], minlength=61) * 1000, 60)
+    assert many.bins <= 4000
+    counts = np.bincount(rng.integers(200, 600, 5000), minlength=1001)
+    short = binpack.pack(counts, 1000, nodes=10)
+    assert short.bound <= short.bins <= sum(n for _, n in binpack.best_fit(counts, 1000))
+
+
+def test_fillings_are_all_undominated_ones():
+    assert sorted(binpack.fillings(np.bincount([3, 3, 4, 5, 6, 7], minlength=15), 14, 0)) == [(6, 5, 3), (7, 4, 3)]
+    assert list(binpack.fillings(np.bincount([3, 3], minlength=15), 14, 5)) == []
+    assert list(binpack.fillings(np.bincount([3, 3], minlength=15), 14, 8)) == [(3, 3)]
 
 
 def test_packing(docs, none):
@@ -293,6 +317,7 @@ def test_packing(docs, none):
         assert [y for r in own for y in r.tokens] == ids
         assert [r.start for r in own] == list(range(0, len(ids), 64))
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.tokens, "<u4").tobytes()) for r in own)
+    assert {(r.n_sequences, r.least_sequences) for r in out} == {(len({r.sequence_id for r in out}),) * 2}  # as few as there can be
     places: dict = {}
     for r in out:
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
