@@ -6,30 +6,36 @@ letters, digits or characters above ASCII) joined by single spaces. Every window
 each document once and reports all windows that occur, wherever they overlap. Word
 numbers are mapped back to code-point offsets in the original text.
 
-Memory: patterns are dealt into automatons of at most `shard_words` benchmark words
-each. A benchmark beyond that is scanned in several passes, so nothing that a worker
-or the driver holds grows without bound.
+Memory: an automaton takes about 3 KB a benchmark word, so the benchmark is dealt into
+automatons of at most about `shard_words` words. A worker holds one of them and a group of
+texts at a time: it scans the group with one automaton after the other and unites what they
+find, row by row. However many there are, texts are read once, nothing is shuffled and every
+row is judged on its own. The driver passes the benchmark on shard by shard.
 
 Defined results: a null or wordless document has no words and is clean; a null or
 wordless item matches nothing; an item id given to several rows counts once; repeated
-items all count; rows that share an id, or have none, are judged each on its own; extra columns of either table are ignored; an empty benchmark leaves
-every document clean.
+items all count; rows that share an id, or have none, are judged each on its own; a very
+long text is scanned whole, in one worker; extra columns of either table are ignored; an
+empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import map_batches, prepare, private
+from quillstone.llm.arrow import prepare, tidy
 
 WIDTH = 13
-SHARD_WORDS = 400_000
+SHARD_WORDS = 50_000
+#: Bytes of texts that several automatons scan before the next group is read.
+GROUP_BYTES = 32 << 20
 #: A document is contaminated when hit words are at least 1 / this of its words.
 SHARE = 20
 
@@ -67,126 +73,116 @@ def build(windows: dict[str, list]):
 _BUILT: dict[str, object] = {}
 
 
-def automaton(items: list, width: int):
-    """The automaton of some items, built once per Python worker."""
-    key = hashlib.sha256(repr((width, items)).encode()).hexdigest()
+def automaton(key: str, items: Broadcast, width: int):
+    """The automaton of a shard; a worker keeps the last one."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = build(item_windows(items, width))
+        _BUILT[key] = build(item_windows(items.value, width))
+        items.__dict__.pop("_value", None)  # the texts aren't needed again
     return _BUILT[key]
 
 
-def scan(text: str | None, a) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words, merged hit runs [first word, past last word), ids of items that occur."""
-    words = normalise(text)
-    if not words or not len(a):
-        return len(words), [], set()
-    joined = b" ".join(words).decode("utf-8", "surrogatepass")
+def hits(joined: str, a) -> tuple[list[tuple[int, int]], set]:
+    """Hit runs [first word, past last word) and ids of items that occur in words joined by blanks."""
     runs: list[tuple[int, int]] = []
     items: set = set()
     counted = upto = 0
-    joined = f" {joined} "
-    for end, (size, length, ids) in a.iter(joined):
+    for end, (size, _, ids) in a.iter(joined):
         # spaces up to the window's closing one; matches come by ascending end
         counted += joined.count(" ", upto, end)
         upto = end
         runs.append((counted - size, counted))
         items.update(ids)
-    runs.sort()
+    return runs, items
+
+
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
-    for s, e in runs:
+    for s, e in sorted(runs):
         if merged and s <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
         else:
             merged.append((s, e))
-    return len(words), merged, items
+    return merged
 
 
-def original_offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code-point spans of word runs in the unnormalised text."""
-    at = [m.span() for m in _ORIGINAL_WORD.finditer(text)]
-    return [(at[s][0], at[e - 1][1]) for s, e in runs]
+Shards = list[tuple[str, Broadcast]]
 
 
-_SCHEMA = "{id} bigint, {tie} string, n_words bigint, runs array<array<int>>, spans array<array<int>>, items array<string>"
+def scan(texts: list[str | None], shards: Shards, width: int) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """For each text its number of words, merged hit runs, and ids of items that occur."""
+    words = [normalise(t) for t in texts]
+    found: list[tuple[list, set]] = [([], set()) for _ in texts]
+    for key, items in shards:
+        a = automaton(key, items, width)
+        if len(a):
+            for w, (runs, ids) in zip(words, found, strict=True):
+                if w:
+                    more, own = hits(f" {b' '.join(w).decode('utf-8', 'surrogatepass')} ", a)
+                    runs.extend(more)
+                    ids.update(own)
+    return [(len(w), united(runs), ids) for w, (runs, ids) in zip(words, found, strict=True)]
 
 
-def _text_key(text_col: str):
-    """Tells rows of one id apart."""
-    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+def groups(batches: Iterator, size: Callable, several: bool) -> Iterator[list]:
+    """Batches that are scanned together: one by one, or as many as `GROUP_BYTES` hold where there are several automatons."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += size(b)
+        if not several or total >= GROUP_BYTES:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
-def _scan_shard(docs: DataFrame, items: list, id_col: str, text_col: str, width: int, tie: str | None = None) -> DataFrame:
-    """Results per row; `tie` names a column for the hash of its text."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
+def original_offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Code-point spans of word runs in the unnormalised text."""
+    at = [m.span() for m in _ORIGINAL_WORD.finditer(text)]
+    return [(at[s][0], at[e - 1][1]) for s, e in runs]
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        a = automaton(held.value, width)
-        out = {k: [] for k in (id_col, "n_words", "runs", "spans", "items")}
-        for i, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            n, runs, ids = scan(text, a)
-            out[id_col].append(i.as_py())
-            out["n_words"].append(n)
-            out["runs"].append(runs)
-            out["spans"].append(original_offsets(text, runs) if runs else [])
-            out["items"].append(sorted(map(str, ids)))
-        if tie:
-            out = {id_col: out.pop(id_col), tie: batch.column(2).to_pylist(), **out}
-        kinds = (pa.int64(), *[pa.string()] * bool(tie), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
-        yield {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)}
 
-    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *([_text_key(text_col).alias(tie)] if tie else []))
-    schema = _SCHEMA.format(id=id_col, tie=tie)
-    return map_batches(rows, run, schema if tie else schema.replace(" None string,", ""))
+def benchmark_shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Shards:
+    """Items in shards of at most about `shard_words` words (or one longer item); the driver holds one at a time."""
+    sc, out = benchmark.sparkSession.sparkContext, []
+    shard, words = [], 0
 
+    def close() -> None:
+        ordered = sorted(shard, key=str)
+        out.append((hashlib.sha256(repr(ordered).encode()).hexdigest(), sc.broadcast(ordered)))
 
-def benchmark_shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[list]:
-    """Items in shards of at most about `shard_words` words, one held by the driver at a time."""
-    shard, words = [], 0
     rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     for r in rows.toLocalIterator():
         n = len(normalise(r.t))
         if shard and words + n > shard_words:
-            yield sorted(shard, key=str)
+            close()
             shard, words = [], 0
         shard.append((r.i, r.t))
         words += n
-    yield sorted(shard, key=str)
+    close()
+    return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per document row: n_words, hit word runs, their spans in the text, and ids of the items found."""
-    tie = private("tie")
-    return _contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words, tie).drop(tie)
-
-
-def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, shard_words: int, tie: str) -> DataFrame:
-    """With several shards, also the hash of the row's text as `tie`."""
-    several = len(list_of_two(benchmark_shards(benchmark, item_col, item_text_col, shard_words))) > 1
-    parts = [_scan_shard(docs, shard, id_col, text_col, width, tie if several else None) for shard in benchmark_shards(benchmark, item_col, item_text_col, shard_words)]
-    if not several:
-        return parts[0]
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.unionByName(p)
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("runs"))),
-        F.expr("cast(array() as array<array<int>>)"),
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (r[0] <= F.element_at(acc, -1)[1]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], r[1])))),
-        ).otherwise(F.concat(acc, F.array(r))),
-    )
-    one = joined.groupBy(id_col, tie).agg(
-        F.first("n_words").alias("n_words"),
-        merged.alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        # every row is in every part once
-        (F.count("*") / len(parts)).cast("int").alias(copies := private("copies")),
-    )
-    return one.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
+    prepare(docs.sparkSession)
+    shards = benchmark_shards(benchmark, item_col, item_text_col, shard_words)
+    names = (id_col, "n_words", "runs", "spans", "items")
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups(batches, lambda b: b.nbytes, len(shards) > 1):
+            texts = [t.as_py() for b in held for t in b.column(1)]
+            found = iter(zip(texts, scan(texts, shards, width), strict=True))
+            for b in held:
+                rows = [next(found) for _ in range(b.num_rows)]
+                spans = [original_offsets(t, runs) if runs else [] for t, (_, runs, _) in rows]
+                columns = ([n for _, (n, _, _) in rows], [runs for _, (_, runs, _) in rows], spans, [sorted(map(str, ids)) for _, (_, _, ids) in rows])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names=names)
+
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(tidy(run), f"`{id_col}` bigint, n_words bigint, runs array<array<int>>, spans array<array<int>>, items array<string>")
 
 
 def summarise(found: DataFrame, id_col: str = "doc_id", share: int = SHARE) -> DataFrame:
@@ -203,34 +199,17 @@ def summarise(found: DataFrame, id_col: str = "doc_id", share: int = SHARE) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, share: int = SHARE, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns.
-
-    With one automaton the verdict is a column beside the row, so texts aren't shuffled;
-    a sharded benchmark needs a join on the id.
-    """
-    shards = list_of_two(benchmark_shards(benchmark, item_col, item_text_col, shard_words))
-    if len(shards) == 1:
-        prepare(docs.sparkSession)
-        held = docs.sparkSession.sparkContext.broadcast(shards[0])
-
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array) -> pa.Array:
-            a = automaton(held.value, width)
-            out = []
-            for t in texts:
-                n, runs, _ = scan(t.as_py(), a)
-                hit = sum(e - s for s, e in runs)
-                out.append(not (hit > 0 and share * hit >= n))
-            return pa.array(out, pa.bool_())
-
-        return docs.where(clean(F.col(text_col)))
-    key, tie = private("bad"), private("tie")
-    found = _contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, width, shard_words, tie)
-    hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + (r[1] - r[0]).cast("bigint"))
-    bad = found.where((hit > 0) & (hit * share >= F.col("n_words"))).select(F.col(id_col).alias(key), tie).distinct()
-    return docs.join(bad, F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (_text_key(text_col) == F.col(tie)), "left_anti")
-
-
-def list_of_two(parts: Iterator) -> list:
-    """The first two of an iterator: enough to tell whether there is more than one."""
-    return [x for x, _ in zip(parts, range(2))]
+    """The documents that aren't contaminated, with all their columns. The verdict is a column beside the row, so texts aren't shuffled."""
+    prepare(docs.sparkSession)
+    shards = benchmark_shards(benchmark, item_col, item_text_col, shard_words)
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for held in groups(batches, lambda b: b.nbytes, len(shards) > 1):
+            found = iter(scan([t.as_py() for b in held for t in b], shards, width))
+            for b in held:
+                rows = [next(found) for _ in range(len(b))]
+                hit = [sum(e - s for s, e in runs) for _, runs, _ in rows]
+                yield pa.array([not (h > 0 and share * h >= n) for h, (n, _, _) in zip(hit, rows, strict=True)], pa.bool_())
+
+    return docs.where(clean(F.col(text_col).cast("string")))
