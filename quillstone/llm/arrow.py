@@ -9,7 +9,8 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.runtime import ship
 
@@ -120,3 +121,31 @@ def by_key(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Itera
             yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
+
+
+RUNS = "array<struct<at:bigint,upto:bigint>>"
+
+
+def merged_runs(runs: Column) -> Column:
+    """Runs [at, upto) of each row in order, those that meet or overlap as one; null stays null."""
+
+    @F.arrow_udf(RUNS)
+    def merge(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        at, upto = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "upto"))
+        sizes = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((upto, at, row))
+        at, upto, row = at[order], upto[order], row[order]
+        # the largest end so far in the row: rows are set apart by more than any end
+        far = int(upto.max(initial=0)) + 1
+        reach = np.maximum.accumulate(upto + row * far) - row * far
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] > reach[:-1])
+        heads = np.flatnonzero(new)
+        tails = np.concatenate([heads[1:], [len(at)]]) - 1 if len(heads) else heads
+        offsets = np.searchsorted(row[heads], np.arange(len(sizes) + 1)).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(at[heads]), pa.array(reach[tails])], names=["at", "upto"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(np.asarray(column.is_null())) if column.null_count else None)
+
+    return merge(runs)

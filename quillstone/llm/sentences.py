@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import map_batches, prepare, private
+from quillstone.llm.arrow import map_batches, merged_runs, prepare, private
 from quillstone.llm.kernel import ALNUM_WORDS, SPACE_WORDS, Chunk, chunks, mix, powers, prefix_hash, span_hash
 from quillstone.runtime import settle
 
@@ -110,12 +110,7 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = found.where("kind = 1").select("h", "id", "tie", "place", "many")
     least = spans.groupBy("h").agg(F.min(F.struct("id", "place", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     again = spans.join(least, "h").where(F.struct("id", "place", "tie") > F.col("first"))
-    runs = F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), (F.col("place") + F.col("many")).alias("upto"))))
-    merged = F.aggregate(
-        runs,
-        F.expr("cast(array() as array<struct<at:bigint,upto:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["at"] <= F.element_at(acc, -1)["upto"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["at"].alias("at"), F.greatest(F.element_at(acc, -1)["upto"], x["upto"]).alias("upto"))))).otherwise(F.concat(acc, F.array(x))),
-    )
+    merged = merged_runs(F.collect_list(F.struct(F.col("place").alias("at"), (F.col("place") + F.col("many")).alias("upto"))))
     cut = again.groupBy("id", "tie").agg(merged.alias("runs"))
     texts = found.where("kind = 0").select("id", "tie", F.col("place").alias("n_sentences"))
     return texts.join(cut, ["id", "tie"], "left")

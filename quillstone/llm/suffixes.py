@@ -1,29 +1,32 @@
-"""Removal of repeated byte strings by suffixes sorted in buckets.
+"""Removal of repeated byte strings by longest-previous-factor arrays over buckets of suffixes.
 
 A byte goes if a string of `LENGTH` bytes that covers it also starts in a document with a
-smaller id. One suffix array of the whole corpus would be many times its size, so suffixes
-are first dealt into buckets that equal strings always share:
+smaller id: that is, if a suffix whose longest previous factor (the longest prefix that also
+begins a suffix of a smaller id) has `LENGTH` bytes or more begins at most that far before it.
+One suffix array of the whole corpus would be many times its size, so suffixes are first
+dealt into buckets that strings with `LENGTH` equal bytes always share:
 
 1. Every window of `LENGTH` bytes is named by its anchor, the least hash among its grams of
    `GRAM` bytes. Consecutive windows with one anchor make a stretch. One scan deals stretches
-   (hash of the anchor, hash of the stretch) out by anchor; stretches that a block of texts
-   repeats are settled inside the block.
-2. A bucket tells which stretches stand whole in an earlier document (all their bytes go) and,
-   where an anchor has several different stretches, asks for the bytes of the first of each.
-3. Those strings meet by anchor. Their suffixes are sorted and grouped where `LENGTH` bytes are
-   equal; suffixes with an earlier document in their group mark their bytes. How long shorter
-   factors are doesn't matter and isn't computed.
-   Anchors with more than `CROWD` different stretches (the ends of a very common passage) would
-   make one bucket too large: their suffixes are told apart by the hash of their first
-   `LENGTH` bytes, a deeper bucket in which only the smallest id keeps its bytes.
+   (hash of the anchor, hash of the stretch) out by anchor. Equal stretches are stood for by the
+   one with the least id; all bytes of the others are its copy (inside a block of texts at once).
+2. Where an anchor has several different stretches, the bucket asks for the bytes of the first
+   of each.
+3. Those strings meet by anchor. Their suffixes are sorted; previous and next smaller positions
+   (the nearest suffixes in order that a smaller id owns) with the common prefixes up to them give
+   the longest previous factors, and those of `LENGTH` or more mark their bytes.
+   An anchor with more than `CROWD` different stretches (the ends of a very common passage) is
+   dealt on by the hash of each window. Where a window is very common, its copies first meet in
+   shares by id, and the least of each share meet again.
 4. Marked spans are merged per document and cut from its text.
 
-Stretches are compared by 72 bits of hashes or by their bytes, windows of crowded anchors by 64 bits.
+Equal stretches are told by 84 bits of hashes (44 of the anchor, 40 of the stretch); all others
+by their bytes.
 
 Defined results: a null or empty text has no bytes and keeps none; matches never cross
 documents nor count within one; rows that share an id don't remove from each other; rows
-without an id are kept whole and remove nothing; empty tables give empty results; other
-columns are ignored.
+without an id are kept whole and remove nothing; a text of more than `SEGMENT` bytes is read in
+overlapping segments; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +40,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bloom
-from quillstone.llm.arrow import by_key, map_batches, prepare, tidy
+from quillstone.llm.arrow import by_key, map_batches, merged_runs, prepare, tidy
 from quillstone.llm.kernel import Chunk, chunks, mix, powers, prefix_hash, span_hash
 from quillstone.runtime import settle
 
 LENGTH, GRAM = 50, 24
 CROWD = 2000
-BLOCK_STRETCHES, BLOCK_TEXTS, BUCKET_STRETCHES, BUCKET_STRINGS = 1_000_000, 20_000, 1_000_000, 100_000
+BLOCK_STRETCHES, BLOCK_TEXTS, BUCKET_STRETCHES, BUCKET_STRINGS, BUCKET_WINDOWS = 1_000_000, 20_000, 1_000_000, 50_000, 200_000
+#: Bytes of a long text that are read at once.
+SEGMENT = 4 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 _LOW32, _LOW40 = np.uint64(0xFFFFFFFF), np.uint64((1 << 40) - 1)
 
 
+def segments(column: pa.Array, length: int) -> Iterator[tuple[Chunk, int]]:
+    """Runs of whole texts, and long texts in parts that share `length` - 1 bytes; where in its text a part begins."""
+    for c in chunks(column):
+        if len(c.data) <= SEGMENT + length:
+            yield c, 0
+            continue
+        for i in range(len(c)):
+            a, b = int(c.bounds[i]), int(c.bounds[i + 1])
+            for s in range(a, max(b, a + 1), SEGMENT):
+                part = c.data[s : min(b, s + SEGMENT + length - 1)]
+                yield Chunk(part, np.array([0, len(part)]), c.first + i), s - a
+
+
 class Stretches:
     """Stretches of a chunk: text index, first and last window start, anchor and stretch hashes."""
 
@@ -94,7 +112,7 @@ def pair_code(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return mix(mix(anchor & _LOW32) + (whole << np.uint64(20)) + (anchor >> np.uint64(52)))
 
 
-_DEALT = "bucket int, block bigint, kind int, ids binary, sizes binary, a binary, c binary"
+_DEALT = "bucket bigint, block bigint, kind int, ids binary, sizes binary, a binary, c binary"
 _NAMES = [f.split()[0] for f in _DEALT.split(", ")]
 SETTLED, ASKED, CROWDED = 0, 1, 2
 
@@ -107,7 +125,7 @@ def _row(bucket: int, block: int, kind: int, doc: np.ndarray, a: bytes, c: bytes
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
 
 
@@ -143,13 +161,14 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int,
                 o = np.argsort(d, kind="stable")
                 yield _batch([_row(-1 - (task * 31 + block) % 4096, name, SETTLED, d[o], code[o].astype("<u8").tobytes(), b"")])
             doc, a, c = doc[new], a[new], c[new]
-            bucket = ((a >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(a) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((doc, bucket))
             doc, a, c = doc[order], a[order], c[order]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            bucket = bucket[order]
+            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             out = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                s = slice(edges[b], edges[b + 1])
+            for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
+                s, b = slice(x, y), int(bucket[x])
                 # the anchor's top bits ride with its low ones, so that its code can be made again
                 out.append(_row(b, name, 0, doc[s], (a[s] & _LOW32).astype("<u4").tobytes() + (a[s] >> np.uint64(52)).astype("<u2").tobytes(), _planes(c[s])))
                 if len(out) == 8:
@@ -160,7 +179,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int,
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in chunks(batch.column(1)):
+            for chunk, _ in segments(batch.column(1), length):
                 s = Stretches(chunk, length, gram)
                 held.append((ids[chunk.first + s.doc], s.anchor, s.whole))
                 count, texts = count + len(s.doc), texts + len(chunk)
@@ -247,7 +266,7 @@ def mark(length: int, gram: int):
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, ties = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         answers = [[np.frombuffer(x or b"", "<u8") for x in batch.column(k).to_pylist()] for k in (3, 4, 5)]
-        for chunk in chunks(batch.column(1)):
+        for chunk, shift in segments(batch.column(1), length):
             s = Stretches(chunk, length, gram)
             code = pair_code(s.anchor, s.whole)
             edges = np.searchsorted(s.doc, np.arange(len(chunk) + 1))
@@ -258,7 +277,7 @@ def mark(length: int, gram: int):
                     wanted = answers[k][chunk.first + i]
                     if len(wanted):
                         kinds[k, part] = np.isin(code[part], wanted)
-            base = chunk.bounds[s.doc]
+            base = chunk.bounds[s.doc] - shift
             row = chunk.first + s.doc
             out: dict[str, list] = {n.split()[0]: [] for n in _MARKS.split(", ")}
 
@@ -284,7 +303,8 @@ def mark(length: int, gram: int):
                 n = s.last[pick] - s.first[pick] + 1
                 each = np.repeat(pick, n)
                 at = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + s.first[each]
-                add(2, each, span_hash(s.prefix, at, at + length).view(np.int64), at - base[each], at + length - base[each], [None] * len(each))
+                raw = chunk.data
+                add(2, each, span_hash(s.prefix, at, at + length).view(np.int64), at - base[each], at + length - base[each], [raw[a : a + length].tobytes() for a in at.tolist()])
             if out["kind"]:
                 done = {n: pa.array(np.concatenate(v)) for n, v in out.items() if n != "body"}
                 yield done | {"body": pa.concat_arrays(out["body"])}
@@ -292,38 +312,55 @@ def mark(length: int, gram: int):
     return fn
 
 
-def longest_previous(words: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """`length` for each suffix whose first `length` bytes also begin a suffix of a lesser owner, else 0.
+def nearest_smaller(owner: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place the least of `common` back to the nearest place before with a smaller owner; 0 without one.
+
+    `common[i]` belongs to places i - 1 and i. All places leap at once, each over what the place it has reached
+    has already leapt over, so few rounds do.
+    """
+    n = len(owner)
+    at, least = np.arange(-1, n - 1), common.astype(np.int64)
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_ := open_[owner[at[open_]] >= owner[open_]]):
+        to = at[open_]
+        least[open_] = np.minimum(least[open_], least[to])
+        at[open_] = at[to]
+        open_ = open_[at[open_] >= 0]
+    return np.where(at >= 0, least, 0)
+
+
+def longest_previous(words: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix: how many of its bytes also begin a suffix of a smaller owner.
 
-    `words` holds the first `length` bytes of each suffix as big-endian 64-bit columns (padded
-    with zeros). Shorter factors aren't told apart.
+    `words` holds the suffixes as big-endian 64-bit columns, padded with zeros, `size` their lengths.
     """
     n = len(owner)
-    order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
-    ordered, who = words[order], owner[order]
+    order = np.lexsort((size, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
+    ordered, who, length = words[order], owner[order], size[order]
     differs = ordered[1:] != ordered[:-1]
-    column = np.where(differs.any(axis=1), differs.argmax(axis=1), words.shape[1])
-    shared = np.full(n + 1, 0, dtype=np.int64)
-    some = column < words.shape[1]
-    bits = np.zeros(n - 1, dtype=np.int64)
+    some = differs.any(axis=1)
+    column = differs.argmax(axis=1)
     rows = np.flatnonzero(some)
     difference = ordered[1:][rows, column[rows]] ^ ordered[:-1][rows, column[rows]]
-    bits[rows] = 7 - np.floor(np.log2(difference.astype(np.float64))).astype(np.int64) // 8
-    shared[1:n] = np.minimum(np.where(some, 8 * column + bits, length), length)
-    # groups of suffixes that share the full length; the nearest lesser owner lies within if there is one
-    group = np.cumsum(np.concatenate([[True], shared[1:n] < length])) - 1
-    _, rank = np.unique(who, return_inverse=True)
-    span = int(rank.max()) + 1
-    forward = np.minimum.accumulate(rank + (group.max() - group) * span) - (group.max() - group) * span
-    backward = (np.minimum.accumulate((rank + group * span)[::-1])[::-1]) - group * span
-    reaches = (forward < rank) | (backward < rank)
+    common = np.zeros(n + 1, dtype=np.int64)  # bytes that neighbours share
+    common[1:n] = 8 * words.shape[1]
+    leading = np.zeros(len(rows), dtype=np.int64)
+    for bits in (56, 48, 40, 32, 24, 16, 8):
+        leading += (difference >> np.uint64(bits)) == 0
+    common[1 + rows] = 8 * column[rows] + leading
+    common[1:n] = np.minimum(common[1:n], np.minimum(length[1:], length[:-1]))
+    before = nearest_smaller(who, common[:n])
+    after = nearest_smaller(who[::-1], common[1:][::-1])[::-1]
     out = np.empty(n, dtype=np.int64)
-    out[order] = np.where(reaches, length, 0)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def compare_strings(length: int):
-    """Spans of strings whose suffixes reach the full length in an earlier document."""
+_HITS = "id bigint, tie bigint, at bigint, upto bigint, g bigint, body binary"
+
+
+def compare_strings(length: int, rest: bool = False):
+    """Spans of strings whose suffixes have a longest previous factor of `length` or more. `rest` also returns strings without one, with their bodies."""
 
     def fn(key: tuple, table: pa.Table) -> Iterator[dict]:
         ids, ties, at = (table.column(n).to_numpy() for n in ("id", "tie", "at"))
@@ -335,29 +372,46 @@ def compare_strings(length: int):
         n = np.diff(bounds) - length + 1
         string = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
-        columns = -(-length // 8)
+        size = (bounds[1:] - bounds[:-1])[string] - within
+        columns = -(-int(size.max()) // 8)
         padded = np.concatenate([data, np.zeros(8 * columns, dtype=np.uint8)])
-        suffix = bounds[string] + within
-        # bytes beyond the length are masked, so that only the window counts
-        matrix = np.lib.stride_tricks.sliding_window_view(padded, 8 * columns)[suffix].copy()
-        matrix[:, length:] = 0
-        words = matrix.view(">u8").astype(np.uint64)
-        hit = np.flatnonzero(longest_previous(words, ids[string], length) >= length)
+        matrix = np.lib.stride_tricks.sliding_window_view(padded, 8 * columns)[bounds[string] + within]
+        matrix[np.arange(8 * columns)[None, :] >= size[:, None]] = 0  # bytes behind the string aren't the suffix's
+        factor = longest_previous(matrix.view(">u8").astype(np.uint64), size, ids[string])
+        hit = np.flatnonzero(factor >= length)
         if len(hit):
             s, a = string[hit], at[string[hit]] + within[hit]
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (a[1:] > a[:-1] + length)])
             heads = np.flatnonzero(new)
             tails = np.concatenate([heads[1:] - 1, [len(s) - 1]])
-            yield {"id": pa.array(ids[s[heads]]), "tie": pa.array(ties[s[heads]]), "at": pa.array(a[heads]), "upto": pa.array(a[tails] + length)}
+            yield {"id": pa.array(ids[s[heads]]), "tie": pa.array(ties[s[heads]]), "at": pa.array(a[heads]), "upto": pa.array(a[tails] + length), "g": pa.nulls(len(heads), pa.int64()), "body": pa.nulls(len(heads), pa.binary())}
+        if rest:
+            left = np.ones(len(ids), dtype=bool)
+            left[string[hit]] = False
+            if left.any():
+                kept = table.filter(pa.array(left))
+                yield {"upto": pa.nulls(kept.num_rows, pa.int64())} | {c: kept.column(c).combine_chunks() for c in ("id", "tie", "at", "g", "body")}
 
     return fn
 
 
+def common_windows(windows: DataFrame, length: int) -> DataFrame:
+    """Windows that a smaller id also holds. Copies of one window first meet in shares by id; what no share marks meets again."""
+    groups = max(1, -(-windows.count() // BUCKET_WINDOWS))
+    share = F.pmod(F.xxhash64("id"), F.lit(groups))
+    dealt = lambda df, *keys: df.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("part"), "id", "tie", "at", "g", "body")
+    if groups == 1:
+        return by_key(dealt(windows, "g"), ["part"], compare_strings(length), _HITS)
+    first = settle(by_key(dealt(windows.withColumn("share", share), "g", "share"), ["part"], compare_strings(length, rest=True), _HITS), "shares", compression="zstd")
+    left = first.where("upto is null")
+    return first.where("upto is not null").unionByName(by_key(dealt(left, "g"), ["part"], compare_strings(length), _HITS))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """id, tie (hash of the text) and merged spans [start, end) in bytes of all documents that lose any."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = min(1 << 12, max(1, -(-int(size) * 2 // (length - gram + 2) // BUCKET_STRETCHES)))
+    buckets = max(1, -(-int(size) * 2 // (length - gram + 2) // BUCKET_STRETCHES))
     judged = by_key(deal(docs, id_col, text_col, buckets, length, gram), ["bucket"], judge_bucket(crowd), _DEALT)
     answers = settle(by_key(judged, ["block"], by_document, "id bigint, settled binary, asked binary, crowded binary"), "answers")
     _, doubtful = bloom.split_by_id(rows.where("id is not null"), F.col("id"), answers, "id")
@@ -367,17 +421,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = settle(map_batches(met, mark(length, gram), _MARKS), "marks", compression="zstd")
     strings = marks.where("kind = 1")
     groups = max(1, -(-strings.count() // BUCKET_STRINGS))
-    compared = by_key(strings.select(F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int").alias("part"), "id", "tie", "at", "body"), ["part"], compare_strings(length), "id bigint, tie bigint, at bigint, upto bigint")
-    windows = marks.where("kind = 2").select("g", "id", "tie", "at", "upto")
-    least = windows.groupBy("g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    crowded = windows.join(least, "g").where("id > least").select("id", "tie", "at", "upto")
-    spans = marks.where("kind = 0").select("id", "tie", "at", "upto").unionByName(compared).unionByName(crowded)
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("at", "upto"))),
-        F.expr("cast(array() as array<struct<at:bigint,upto:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["at"] <= F.element_at(acc, -1)["upto"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["at"].alias("at"), F.greatest(F.element_at(acc, -1)["upto"], x["upto"]).alias("upto"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return spans.groupBy("id", "tie").agg(merged.alias("spans"))
+    compared = by_key(strings.select(F.pmod(F.xxhash64("g"), F.lit(groups)).alias("part"), "id", "tie", "at", "body"), ["part"], compare_strings(length), _HITS)
+    crowded = common_windows(marks.where("kind = 2"), length)
+    spans = marks.where("kind = 0").select("id", "tie", "at", "upto")
+    for more in (compared, crowded):
+        spans = spans.unionByName(more.select("id", "tie", "at", "upto"))
+    return spans.groupBy("id", "tie").agg(merged_runs(F.collect_list(F.struct("at", "upto"))).alias("spans"))
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import re
 import zlib
 from collections import Counter
@@ -308,6 +309,43 @@ def test_fillings_are_all_undominated_ones():
     assert list(binpack.fillings(np.bincount([3, 3], minlength=15), 14, 8)) == [(3, 3)]
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        strings = ["".join(rng.choice(list("ab"), rng.integers(1, 30))).encode() for _ in range(12)]
+        owners = rng.integers(0, 6, 12)
+        suffixes_, who = zip(*((s[i:], o) for s, o in zip(strings, owners.tolist(), strict=True) for i in range(len(s))), strict=True)
+        matrix = np.zeros((len(who), 32), dtype=np.uint8)
+        for row, x in zip(matrix, suffixes_, strict=True):
+            row[: len(x)] = np.frombuffer(x, np.uint8)
+        got = suffixes.longest_previous(matrix.view(">u8").astype(np.uint64), np.array([len(x) for x in suffixes_]), np.array(who))
+        want = [max((len(os.path.commonprefix([x, y])) for y, p in zip(suffixes_, who, strict=True) if p < o), default=0) for x, o in zip(suffixes_, who, strict=True)]
+        assert got.tolist() == want
+
+
+def test_suffix_dedup_in_shares_and_segments(spark, monkeypatch):
+    """A very common window, in shares by id, and a text longer than a segment, of over 16 MB."""
+    monkeypatch.setattr(suffixes, "BUCKET_WINDOWS", 50)
+    rng = np.random.default_rng(8)
+    common = "this passage of over fifty bytes stands in very many of the texts"
+    noise = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    rows = [(i, f"{noise(30)}{common}{noise(30)}") for i in range(120)]
+    got = suffixes.summarise(suffixes.cut(spark.createDataFrame(rows, DDL).repartition(3), crowd=3)).collect()
+    seen = common.encode()
+    assert {r.doc_id: r.n_removed for r in got} == {i: 0 if i == 0 else suffix_bytes(rows, i) for i, _ in rows}
+    long = noise(17 << 20)
+    tail = long[(16 << 20) - 100 : (16 << 20) + 100]
+    rows = [(1, long), (2, f"..{tail}.."), (3, f"{seen.decode()}{long[100:200]}")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.summarise(suffixes.cut(spark.createDataFrame(rows, DDL))).collect()}
+    assert got == {1: (17 << 20, 0), 2: (204, 200), 3: (len(seen) + 100, 100)}
+
+
+def suffix_bytes(rows, i):
+    raw = dict(rows)[i].encode()
+    seen = {x.encode()[p : p + 50] for j, x in rows if j < i for p in range(len(x) - 49)}
+    return len({q for p in range(len(raw) - 49) if raw[p : p + 50] in seen for q in range(p, p + 50)})
+
+
 def test_packing(docs, none):
     out = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=64, tokens=True).collect()
     t = encode.Encoder(tokenizer_file("word_bpe_49k.json")).tokenizer
