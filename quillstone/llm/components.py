@@ -29,10 +29,10 @@ def _small(edges: DataFrame) -> DataFrame:
     return _hang(moved.unionByName(least.select("u", F.col("m").alias("v"))))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node that isn't the least of its component, and the least. Edges are (u, v) of bigint."""
     now, mark = settle(_hang(edges), "edges"), None
-    for _ in range(rounds):
+    while True:
         after = settle(_small(_large(now)), "edges")
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         discard(now)
@@ -40,4 +40,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark:
             return now
         mark = seen
-    raise RuntimeError("components did not settle")

@@ -4,13 +4,14 @@ Every version of every file is addressed by the sha256 of its content. A scan lo
 at (blob, rule set version) pairs that the ledger doesn't hold yet; findings are joined
 back to all paths and versions that carry the blob.
 
-Texts are never shuffled: hashes decide which rows to scan, and a Bloom filter of fixed
-size over the chosen row ids (built with SQL, at most 2**20 words of 64 bits) lets other
-copies skip the scan where they lie. A false positive only scans a copy needlessly.
+Hashes decide which rows to scan, and a Bloom filter over the chosen row ids, sized by their
+number, lets other copies skip the scan where they lie (too many ids for a filter are joined
+instead). A false positive only scans a copy needlessly.
 
 Defined results: a null text is an empty blob without secrets; equal texts share one scan
-and all get its findings; row ids that repeat are versions of one path, told apart by blob;
-an empty table gives empty findings; other columns are ignored.
+and all get its findings; row ids that repeat are versions of one path, told apart by blob, and
+rows without an id are versions too; a very long text is scanned whole in one worker; an empty
+table gives empty findings; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,23 +72,19 @@ def blob_id(text: Column) -> Column:
 
 def scan_blobs(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(blob, spans) of the chosen (row id, blob) pairs; spans may be empty."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(bloom.build(chosen, "scan_id"))
-    first, second = bloom.bit_columns(F.col(id_col).cast("bigint"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        keep = bloom.test(held.value, batch.column(2), batch.column(3))
         ids, blobs, spans = [], [], []
-        for i in np.flatnonzero(keep).tolist():
-            text = batch.column(1)[i].as_py() or ""
+        for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py() or ""
             if found := find_secrets(text):
-                ids.append(batch.column(0)[i].as_py())
+                ids.append(i.as_py())
                 blobs.append(hashlib.sha256(text.encode()).hexdigest())
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
         yield {"scan_id": pa.array(ids, pa.int64()), "blob": pa.array(blobs, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))}
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("scan_id"), F.col(text_col).cast("string").alias("text"), first.alias("b1"), second.alias("b2"))
-    found = map_batches(rows, run, "scan_id bigint, blob string, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("scan_id"), F.col(text_col).cast("string").alias("text"))
+    found = map_batches(bloom.among(rows, F.col("scan_id"), chosen, "scan_id"), run, "scan_id bigint, blob string, spans array<struct<kind:string,start:bigint,end:bigint>>")
     # copies that a false positive let through fall away here: one row per blob
     return found.groupBy("blob").agg(F.first("spans").alias("spans"))
 
