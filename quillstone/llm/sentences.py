@@ -2,17 +2,20 @@
 
 A sentence ends at a line break, or at `.`, `!` or `?` before white space; its words are runs of
 letters and digits, ASCII case folded. From every sentence a span runs over the next ones until
-it has `SENTENCES` sentences and `LEAST_WORDS` words, or `ENOUGH_WORDS` words. Spans are hashed
-(64 bits) and joined over the whole table; the first occurrence by (id, place) stays and every
-sentence under any other occurrence goes. Repeats within one text count too.
+it has `SENTENCES` sentences and `LEAST_WORDS` words, or, with `PAIR` sentences already, `ENOUGH_WORDS`
+words; so it always has several sentences. Spans are hashed (64 bits) and joined over the whole
+table; the first occurrence by (id, place) stays and every sentence under any other occurrence
+goes. Repeats within one text count too.
 
 One scan makes the spans; the least occurrence per hash is an aggregation with partial
-results, and the join back to the spans may be split where a hash is very common.
+results, written out, and spans that may have such a hash are joined with it, split by Spark
+where a hash is very common.
 
 Defined results: a null, empty or wordless text has no sentences; texts too short for a span
 are kept; rows that share an id count as one document, the second row's repeats go only from the
-place of its own sentences; rows without an id are kept whole and remove nothing; empty tables
-give empty results; other columns are ignored.
+place of its own sentences, and rows equal in id and text are one text, which doesn't repeat itself;
+rows without an id are kept whole and remove nothing; a very long text is cut into sentences
+in one worker; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from quillstone.llm.arrow import map_batches, merged_runs, prepare, private
 from quillstone.llm.kernel import ALNUM_WORDS, SPACE_WORDS, Chunk, chunks, mix, powers, prefix_hash, span_hash
 from quillstone.runtime import settle
 
-SENTENCES, LEAST_WORDS, ENOUGH_WORDS = 3, 10, 32
+SENTENCES, LEAST_WORDS, PAIR, ENOUGH_WORDS = 3, 10, 2, 24
 
 
 class Sentences:
@@ -65,7 +68,7 @@ class Sentences:
         begun = self.edges[:-1]
         # the first sentence whose end brings the words to a number
         reach = lambda w: np.searchsorted(self.edges, begun + w, "left")
-        upto = np.minimum(np.maximum(i + SENTENCES, reach(LEAST_WORDS)), np.maximum(i + 1, reach(ENOUGH_WORDS)))
+        upto = np.minimum(np.maximum(i + SENTENCES, reach(LEAST_WORDS)), np.maximum(i + PAIR, reach(ENOUGH_WORDS)))
         inside = upto <= n
         inside[inside] = self.doc[upto[inside] - 1] == self.doc[i[inside]]
         i, upto = i[inside], upto[inside]
@@ -108,8 +111,8 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, tie (hash of the text), n_sentences and runs [first, past last) of sentences to remove."""
     found = settle(spans_of(docs, id_col, text_col), "spans", compression="zstd")
     spans = found.where("kind = 1").select("h", "id", "tie", "place", "many")
-    least = spans.groupBy("h").agg(F.min(F.struct("id", "place", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    again = spans.join(least, "h").where(F.struct("id", "place", "tie") > F.col("first"))
+    least = settle(spans.groupBy("h").agg(F.min(F.struct("id", "place", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"), "least")
+    again = bloom.among(spans, F.col("h"), least, "h").join(least, "h").where(F.struct("id", "place", "tie") > F.col("first"))
     merged = merged_runs(F.collect_list(F.struct(F.col("place").alias("at"), (F.col("place") + F.col("many")).alias("upto"))))
     cut = again.groupBy("id", "tie").agg(merged.alias("runs"))
     texts = found.where("kind = 0").select("id", "tie", F.col("place").alias("n_sentences"))

@@ -63,7 +63,7 @@ def test_substring_dedup(docs, none):
             n = 0
             for b in range(a, len(s)):
                 n += len(s[b])
-                if (b - a >= 2 and n >= 10) or n >= 32:
+                if (b - a >= 2 and n >= 10) or (b - a >= 1 and n >= 24):
                     key = tuple(w for y in s[a : b + 1] for w in y)
                     gone |= set(range(a, b + 1)) if key in seen else set()
                     seen.add(key)
