@@ -1,18 +1,19 @@
 """Toxicity from a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: case, homoglyphs (Cyrillic, Greek and full-width letters), invisible
-characters, and digits or signs that stand for letters inside a word. The lexicon holds word
+Texts are folded first: compatibility forms (mathematical and full-width letters), accents, case,
+homoglyphs (Cyrillic and Greek letters), invisible characters, and digits or signs that stand for
+letters inside a word. The lexicon holds word
 beginnings and whole words with their log-odds of standing in a toxic text; one automaton
 finds all of them and the exception phrases, which cancel the entries inside them. The
 weights found are normalised by length and a logistic curve turns them into a score.
 
 Learning reads at most `max_rows` labelled texts (those whose id hashes lowest), so what it
-collects is bounded: per-feature counts, at most `max_entries` entries, and one short row per
-labelled text. Scoring reads every text once, where it lies, without a shuffle. Only the text
+collects is bounded by them: the entries and exceptions that pass the tests of evidence, and one
+short row per labelled text. Scoring reads every text once, where it lies, without a shuffle. Only the text
 enters a score.
 
 Defined results: null and empty texts score like a text without entries; equal texts score
-alike; labels that are null are not used, an id labelled twice counts as toxic if one label
+alike; a very long text is folded and scanned whole in one worker; labels that are null are not used, an id labelled twice counts as toxic if one label
 says so; without toxic or without clean labels the lexicon is empty and every text gets the
 share of toxic labels (0 if there are none); other columns are ignored.
 """
@@ -21,9 +22,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +43,15 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɑ": "a", "ɡ": "g", "ı": "i", "ⅼ": "l", "ⅰ": "i",
 }
 #: Digits and signs used for letters.
-SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "l"}
 #: Characters that don't show.
 INVISIBLE = "­​‌‍⁠﻿"
 
-_FOLD = str.maketrans({**HOMOGLYPHS, **{chr(0xFF41 + i): chr(0x61 + i) for i in range(26)}, **dict.fromkeys(INVISIBLE, None)})
-_ANY_SUB = re.compile("[" + re.escape("".join(SUBSTITUTIONS)) + "]")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0134 5789@$]+(?=[^\W\d_])|(?<![^\s\"'(])[0134578@$](?=[^\W\d_]{2})".replace(" ", ""))
+_FOLD = str.maketrans({**HOMOGLYPHS, **dict.fromkeys(INVISIBLE, None), **dict.fromkeys(map(chr, range(0x300, 0x370)), None)})
+_SIGNS = "[" + re.escape("".join(SUBSTITUTIONS)) + "]"
+_ANY_SUB = re.compile(_SIGNS)
+#: A sign between letters, or one at the beginning of a word.
+_INSIDE = re.compile(rf"(?<=[^\W\d_]){_SIGNS}+(?=[^\W\d_])|(?<![^\s\"'(]){_SIGNS}(?=[^\W\d_]{{2}})")
 _SUB = str.maketrans(SUBSTITUTIONS)
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -54,9 +60,7 @@ def fold(text: str | None) -> str:
     """Folded words of a text, each between single blanks."""
     if not text:
         return " "
-    t = text.lower()
-    if not t.isascii():
-        t = t.translate(_FOLD)
+    t = text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).lower().translate(_FOLD)
     if _ANY_SUB.search(t):
         t = _INSIDE.sub(lambda m: m[0].translate(_SUB), t)
     return f" {_GAP.sub(' ', t).strip()} ".replace("  ", " ")
@@ -104,7 +108,14 @@ def matches(folded: str, a) -> list[tuple[int, str, float]]:
             covered.append((start, end))
         elif start not in found or found[start][0] < weight:
             found[start] = (weight, key)
-    return [(s, k, w) for s, (w, k) in sorted(found.items()) if not any(b <= s and s + 1 < e for b, e in covered)]
+    covered.sort()
+    begins, reach = [b for b, _ in covered], list(accumulate((e for _, e in covered), max))  # how far the exceptions up to each go
+    kept = []
+    for s, (w, k) in sorted(found.items()):
+        i = bisect_right(begins, s)
+        if not i or reach[i - 1] <= s + 1:
+            kept.append((s, k, w))
+    return kept
 
 
 def features(weight: float, words: int) -> tuple[float, float]:
@@ -132,7 +143,7 @@ def text_features(folded: str, stems: tuple[int, ...]) -> set[str]:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_entries: int = 2_000, stems: tuple[int, ...] = (4, 5, 6), least: int = 5, z: float = 4.0, least_weight: float = 1.5, exceptions: tuple[str, ...] = ()) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, stems: tuple[int, ...] = (4, 5, 6), least: int = 5, z: float = 4.0, least_weight: float = 1.5, exceptions: tuple[str, ...] = ()) -> Model:
     """Learn entries, exception phrases and the curve from labelled texts."""
     spark = docs.sparkSession
     prepare(spark)
@@ -163,9 +174,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen, share = F.col("toxic") + F.col("clean"), toxic_n / (toxic_n + clean_n)
     evidence = F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (seen * (1 - share)))).otherwise(0)
     # most evidence (likelihood ratio) first; among equals a word's beginning before the word, the longer before the shorter
-    for r in chosen.orderBy(F.desc(F.round(evidence, 6)), F.col("f").endswith(" "), F.desc(F.length("f")), "f").limit(8 * max_entries).collect():
-        if len(entries) < max_entries and not any(r.f[:n] in entries for n in range(3, len(r.f) + 1)) and not any(e.startswith(r.f) for e in entries):
+    begun: set[str] = set()  # beginnings of the entries so far
+    for r in chosen.orderBy(F.desc(F.round(evidence, 6)), F.col("f").endswith(" "), F.desc(F.length("f")), "f").collect():  # features of labelled texts
+        if r.f not in begun and not any(r.f[:n] in entries for n in range(3, len(r.f) + 1)):
             entries[r.f] = round(r.w, 4)
+            begun.update(r.f[:n] for n in range(3, len(r.f) + 1))
     model = Model(entries, tuple(f" {' '.join(fold(p).split())} " for p in exceptions))
     held = spark.sparkContext.broadcast(model)
 
@@ -185,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     near = map_batches(rows, contexts, "p string, y int, n bigint").groupBy("p").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     # a phrase that stands in clean texts only, and often, excuses the entry in it
-    excused = near.where((F.col("clean") >= 2 * least) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "p").limit(max_entries).collect()
+    excused = near.where((F.col("clean") >= 2 * least) & (F.col("toxic") == 0)).orderBy("p").collect()
     model = Model(entries, (*model.exceptions, *(r.p for r in excused)))
     final = spark.sparkContext.broadcast(model)
 
