@@ -300,17 +300,19 @@ def q17_table_service11(spark: SparkSession, sf: str) -> DataFrame:
     return _service(spark, sf, 11)
 
 
-@query(f"SELECT l_orderkey, l_returnflag AS a, {_SQL_CODE} AS b, '' AS c FROM lineitem")
+@query(f"SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS qty, {_SQL_CODE} AS code, 'last' AS blank, '' AS missing FROM lineitem WHERE l_linenumber <> 3")
 def q53_table_raw(spark: SparkSession, sf: str) -> DataFrame:
-    html = _html(spark, sf, ["a", "b", "c"], [F.col("l_returnflag"), _code()])
-    return tables.raw_entries(html).select("l_orderkey", *(F.element_at("entry", n).alias(n) for n in "abc"))
+    code = F.when(F.col("l_linenumber") != 3, _code()).otherwise(" ")
+    html = _html(spark, sf, ["", "qty", "code", "", "missing"], [F.lit("first"), F.col("l_linenumber").cast("string"), code, F.lit("last")])
+    return tables.raw_entries(html).select("l_orderkey", *(F.element_at("entry", n).alias(n or "blank") for n in ("qty", "code", "", "missing")))
 
 
 @query("SELECT l_orderkey, CAST(count(*) AS DOUBLE) AS total, CAST(sum(l_linenumber) AS DOUBLE) AS paid, 0.0::DOUBLE AS amount_due FROM lineitem GROUP BY l_orderkey")
 def q18_table_totals(spark: SparkSession, sf: str) -> DataFrame:
     sums = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
-    row = F.concat(F.lit("<tr><td>"), F.format_number("n", 1), F.lit("</td><td>"), F.col("s").cast("string"), F.lit("</td><td>x</td><td>الصافي</td></tr>"))
-    html = F.concat(F.lit("<table><thead><tr><th>a</th><th>b</th><th>c</th><th>d</th></tr></thead><tbody><tr><td>9</td><td>9</td><td>9</td><td>other</td></tr>"), row, F.lit("<tr><td>8</td><td>8</td><td>8</td><td>الصافي</td></tr></tbody></table>"))
+    row = F.concat(F.lit("<tr><td>"), F.format_number("n", 1), F.lit("</td><td>"), F.col("s").cast("string"), F.lit("</td><td>1/2</td><td> الصافي </td></tr>"))
+    other = "<tr><td>9</td><td>9</td><td>9</td><td>الصافي بعد الخصم</td></tr><tr><td>7</td><td>7</td><td>7</td><td>الصافي</td><td>7</td></tr>"
+    html = F.concat(F.lit(f"<table><thead><tr><th>a</th><th>b</th><th>c</th><th>d</th></tr></thead><tbody>{other}"), row, F.lit("<tr><td>8</td><td>8</td><td>8</td><td>الصافي</td></tr></tbody></table>"))
     return tables.totals(sums.select("l_orderkey", html.alias("html"))).drop("html")
 
 
@@ -336,8 +338,8 @@ def q20_section_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey, p_name AS heading, p_name AS category FROM part")
 def q21_nearest_heading(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit("<table><tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td></tr></table>"))
-    html = F.concat(F.lit("<h1>intro</h1>\n<p><b>"), "p_name", F.lit("</b></p>\n<p> </p>\nالمبلغ الإجمالي 5\n"), body, F.lit("\nafter"))
-    both = table(spark, sf, "part").select("p_partkey", html.alias("html"), body.alias("body"))
+    html = F.concat(F.lit("<h1>in\u2028tro</h1>\u000b<p><b>"), "p_name", F.lit("</b></p>\r\n<p> </p>\nالمبلغ الإجمالي 5\n"), body, F.lit("\nafter"))
+    both = table(spark, sf, "part").select("p_partkey", html.alias("html"), F.concat(F.lit("\t"), body, F.lit("\n")).alias("body"))
     return tables.category(tables.heading_of(both, "html", "body")).select("p_partkey", "heading", "category")
 
 
@@ -512,15 +514,15 @@ def q33_router_massara(spark: SparkSession, sf: str) -> DataFrame:
     return _routed(spark, sf, "massara")
 
 
-_KEYWORDS = ("janzour", "massara", "massara medicine", "idcard", "receipt", "medicine", "other", "my idcard")
+_KEYWORDS = ("Janzour", "massara", "massara medicine", "IDCARD", "receipt", "medicine", "أدوية ومستلزمات من الايواء", "my idcard", "إيصال رقم 5", "massara janzour", "other", "MASSARA")
 
 
 @query("""
-WITH k AS (SELECT p_partkey, ['janzour', 'massara', 'massara medicine', 'idcard', 'receipt', 'medicine', 'other', 'my idcard'][CAST(p_partkey % 8 + 1 AS INTEGER)] AS keyword FROM part)
-SELECT p_partkey, keyword, CASE WHEN keyword LIKE '%janzour%' THEN 'janzour' WHEN keyword LIKE '%massara%' THEN 'massara' WHEN keyword LIKE '%idcard%' THEN 'idcard' WHEN keyword LIKE '%receipt%' THEN 'receipt' ELSE 'default' END AS prompt,
-  CASE keyword WHEN 'janzour' THEN 'janzour' WHEN 'massara' THEN 'massara' WHEN 'idcard' THEN 'idcard' WHEN 'receipt' THEN 'receipt' WHEN 'medicine' THEN 'medicine' ELSE 'default' END AS exact FROM k""")
+WITH k(i, keyword, prompt, exact) AS (VALUES (0, 'Janzour', 'janzour', 'janzour'), (1, 'massara', 'massara', 'massara'), (2, 'massara medicine', 'massara', 'default'), (3, 'IDCARD', 'idcard', 'idcard'), (4, 'receipt', 'receipt', 'default'), (5, 'medicine', 'default', 'default'),
+  (6, 'أدوية ومستلزمات من الايواء', 'default', 'medicine'), (7, 'my idcard', 'idcard', 'default'), (8, 'إيصال رقم 5', 'receipt', 'receipt'), (9, 'massara janzour', 'janzour', 'janzour'), (10, 'other', 'default', 'default'), (11, 'MASSARA', 'massara', 'massara'))
+SELECT p_partkey, keyword, prompt, exact FROM part JOIN k ON p_partkey % 12 = i""")
 def q34_prompt_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get(F.array(*map(F.lit, _KEYWORDS)), (F.col("p_partkey") % 8).cast("int"))
+    k = F.get(F.array(*map(F.lit, _KEYWORDS)), (F.col("p_partkey") % 12).cast("int"))
     return table(spark, sf, "part").select("p_partkey", k.alias("keyword")).select("p_partkey", "keyword", router.prompt_name(F.col("keyword")).alias("prompt"), router.exact_prompt_name(F.col("keyword")).alias("exact"))
 
 

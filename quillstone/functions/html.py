@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 
 from quillstone.runtime import once, ship
 
-ROW = pa.struct([("head", pa.bool_()), ("body", pa.bool_()), ("spans", pa.bool_()), ("cells", pa.list_(pa.string())), ("data", pa.list_(pa.string()))])
-ROWS_DDL = "array<struct<head:boolean,body:boolean,spans:boolean,cells:array<string>,data:array<string>>>"
+ROW = pa.struct([("head", pa.bool_()), ("body", pa.bool_()), ("spans", pa.bool_()), ("cells", pa.list_(pa.struct([("th", pa.bool_()), ("text", pa.string())])))])
+ROWS_DDL = "array<struct<head:boolean,body:boolean,spans:boolean,cells:array<struct<th:boolean,text:string>>>>"
+#: Ends of lines, as Python's splitlines has them.
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
 class _Tables(HTMLParser):
-    """Rows of the first table. A row knows whether it is in the head or the body, all its
-    cells, its data cells alone, and whether one of those spans columns. Text nodes of a
-    cell are stripped and joined without a blank."""
+    """Rows of the first table. A row knows whether it is in the first head or the first body,
+    its cells, which of them are headers, and whether a data cell spans columns. Text nodes of
+    a cell are stripped and joined without a blank."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.depth, self.done, self.section, self.cell = 0, False, "", None
+        self.begun: set[str] = set()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.done:
@@ -32,13 +35,14 @@ class _Tables(HTMLParser):
         elif not self.depth:
             return
         elif tag in ("thead", "tbody", "tfoot"):
-            self.section = tag
+            self.section = "" if tag in self.begun else tag
+            self.begun.add(tag)
         elif tag == "tr":
             self.cell = None
-            self.rows.append({"head": self.section == "thead", "body": self.section == "tbody", "spans": False, "cells": [], "data": [], "_": []})
+            self.rows.append({"head": self.section == "thead", "body": self.section == "tbody", "spans": False, "cells": []})
         elif tag in ("td", "th") and self.rows:
             self.cell = []
-            self.rows[-1]["_"].append((tag, self.cell))
+            self.rows[-1]["cells"].append({"th": tag == "th", "text": self.cell})
             if tag == "td" and any(k == "colspan" for k, _ in attrs):
                 self.rows[-1]["spans"] = True
 
@@ -56,11 +60,7 @@ class _Tables(HTMLParser):
             self.cell.append(data.strip())
 
     def table(self) -> list[dict]:
-        for r in self.rows:
-            parts = r.pop("_")
-            r["cells"] = ["".join(c) for _, c in parts]
-            r["data"] = ["".join(c) for t, c in parts if t == "td"]
-        return self.rows
+        return [r | {"cells": [c | {"text": "".join(c["text"])} for c in r["cells"]]} for r in self.rows]
 
 
 def parse_rows(html: str | None) -> list[dict] | None:
@@ -101,24 +101,35 @@ def table_rows(df: DataFrame, html: str) -> DataFrame:
 
 
 def stripped_lines(df: DataFrame, html: str) -> DataFrame:
-    """Add `lines`: each line of an HTML text as plain text."""
+    """Add `raw`, the lines of an HTML text, and `lines`, each of them as plain text."""
     ship(df.sparkSession)
 
     @F.arrow_udf("array<string>")
-    def lines(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t.as_py() is None else [plain_text(x) for x in t.as_py().splitlines()] for t in texts], pa.list_(pa.string()))
+    def plain(lines: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [plain_text(y) for y in x] for x in lines.to_pylist()], pa.list_(pa.string()))
 
-    return df.withColumn("lines", once(lines)(F.col(html)))
+    return df.withColumn("raw", F.split(html, LINE_END)).withColumn("lines", once(plain)(F.col("raw")))
+
+
+def texts(row: Column) -> Column:
+    """All cells of a row."""
+    return F.transform(row["cells"], lambda c: c["text"])
+
+
+def data_texts(row: Column) -> Column:
+    """Data cells of a row, without its header cells."""
+    return F.transform(F.filter(row["cells"], lambda c: ~c["th"]), lambda c: c["text"])
 
 
 def plain_table(rows: Column) -> Column:
     """H2: rows as lines, cells joined by blanks; empty without a table."""
-    return F.coalesce(F.array_join(F.transform(rows, lambda r: F.array_join(r["cells"], " ")), "\n"), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(rows, lambda r: F.array_join(texts(r), " ")), "\n"), F.lit(""))
 
 
 def raw_headers(rows: Column) -> Column:
-    """Cells of the first row of the head; none without a head."""
-    return F.coalesce(F.get(F.filter(rows, lambda r: r["head"]), 0)["cells"], F.expr("cast(array() as array<string>)"))
+    """Header cells of the first row of the head; none without a head."""
+    first = F.get(F.filter(rows, lambda r: r["head"]), 0)["cells"]
+    return F.coalesce(F.transform(F.filter(first, lambda c: c["th"]), lambda c: c["text"]), F.expr("cast(array() as array<string>)"))
 
 
 def body_rows(rows: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillstone.functions.html import parse_rows, plain_table, table_rows
+from quillstone.functions.html import data_texts, parse_rows, plain_table, table_rows
 from quillstone.operators import headers, tables
 
 
@@ -30,13 +30,20 @@ def test_janzour_header(spark):
 
 
 def test_invoice_header(spark):
-    h = headers.parse_invoice_header("إيصال تفصيلي رقم: 555\nاسم المريض: علي محمد\nالرقم الطبي\n12345\nالتاريخ: 24/04/2025 الساعة 10:30")
-    want = {"invoice_number": "555", "patient_name": "علي محمد", "file_number": "12345", "date": "24/04/2025", "time": "10:30"}
-    assert {k: v for k, v in h.items() if v} == want
-    assert headers.parse_invoice_header(None) is None
-    got = headers.invoice_header(spark.createDataFrame([(None,), ("",)], "text string")).select("header").collect()
-    assert got[0].header is None
-    assert set(got[1].header.asDict().values()) == {None}
+    read = lambda text: headers.invoice_header(frame(spark, text)).first().header
+    said = lambda text: {k: v for k, v in read(text).asDict().items() if v}
+    got = said("إيصال تفصيلي رقم: 555\nاسم المريض: علي محمد\nالرقم الطبي\n12345\nالتاريخ: 24/04/2025 الساعة 10:30")
+    assert got == {"invoice_number": "555", "patient_name": "علي محمد", "file_number": "12345", "date": "24/04/2025", "time": "10:30"}
+    # before the label, on the line above, two lines below, behind another label, and in parentheses
+    assert said("987 رقم الملف") == {"file_number": "987"}
+    assert said("4711\nإيصال رقم") == {"invoice_number": "4711"}
+    assert said("الطبيب\n \n\nسالم (استشاري)") == {"doctor_name": "سالم"}
+    assert said("الطبيب\nالجهة: شركة") == {"company_name": "شركة"}
+    # a line serves one key, a key keeps its first value, and a time is looked for anywhere
+    assert said("التاريخ: 1/2/2025\nالتاريخ: 3/4/2025\nx 7.45") == {"date": "1/2/2025", "time": "7:45"}
+    assert said("إيصال رقم: 5 الرقم الطبي: 6") == {"invoice_number": "5 الرقم الطبي: 6"}
+    assert read(None) is None
+    assert set(read("").asDict().values()) == {None}
 
 
 HEAD8 = "<thead><tr>" + "<th>h</th>" * 8 + "</tr></thead>"
@@ -60,6 +67,10 @@ def test_totals(spark):
     got = tables.totals(frame(spark, html, "html")).first()
     assert (got.total, got.paid, got.amount_due) == (1000.5, 500.0, 0.0)
     assert tables.totals(frame(spark, f"<table>{head}</table>", "html")).first().total is None
+    # only four cells, only the label itself, only blanks and commas go
+    rows = "<tr><td>1</td><td>1</td><td>1</td><td>الصافي بعد الخصم</td></tr><tr><td>2</td><td>2</td><td>2</td><td>الصافي</td><td>2</td></tr><tr><td>3</td><td>1/2</td><td>4 0</td><td> الصافي </td></tr>"
+    got = tables.totals(frame(spark, f"<table>{head}{rows}</table>", "html")).first()
+    assert (got.total, got.paid, got.amount_due) == (3.0, 0.0, 40.0)
 
 
 def test_invoice_table(spark):
@@ -70,8 +81,44 @@ def test_invoice_table(spark):
 
 
 def test_cells(spark):
-    assert parse_rows("<table><tr><td>A<br>B</td></tr></table>")[0]["cells"] == ["AB"]
+    assert parse_rows("<table><tr><td>A<br>B</td></tr></table>")[0]["cells"] == [{"th": False, "text": "AB"}]
+    both = table_rows(frame(spark, "<table><tr><th>a</th><td>b</td></tr></table>", "html"), "html")
+    assert both.select(data_texts(F.get("rows", 0))).first()[0] == ["b"]
     assert parse_rows("no table") == []
     got = table_rows(frame(spark, None, "html"), "html").select("rows", plain_table(F.col("rows")).alias("p")).first()
     assert got.rows is None
     assert got.p == ""
+
+
+def test_headers_of_data_cells_dont_count(spark):
+    head = "<thead><tr>" + "<td>h</td>" * 8 + "</tr></thead>"
+    assert entries(spark, [["1"] * 8], head=head) == []
+
+
+def test_repeated_headers_and_tables_without_a_code(spark):
+    html = "<table><thead><tr><th></th><th>code</th><th></th></tr></thead><tbody><tr><td>a</td><td>c</td><td>b</td></tr><tr><td>a</td><td> </td><td>b</td></tr></tbody></table>"
+    assert [r.entry for r in tables.raw_entries(frame(spark, html, "html")).collect()] == [{"": "b", "code": "c"}]
+    assert tables.raw_entries(frame(spark, html.replace("code", "other"), "html")).collect() == []
+    assert [r.entry for r in tables.invoice_entries(frame(spark, html, "html")).collect()] == [{"": "b", "code": "c"}, {"": "b", "code": " "[:0]}]
+
+
+def test_lines_end_alike_everywhere(spark):
+    table = "<table><tr><td>1</td></tr></table>"
+    html = f"a\u2028b\x0bHEAD\r\n{table}\nafter"
+    both = spark.createDataFrame([(html, f"\t{table}\n")], "html string, body string")
+    got = tables.category(tables.heading_of(both, "html", "body")).first()
+    assert (got.heading, got.category) == ("HEAD", "HEAD")
+
+
+def test_any_table_by_mode(spark):
+    row = ["10.000", "5", "15", "10:30", "24/04/2025", "2", "تحليل", "B1"]
+    html = f"<p>Lab</p>\n<table>{HEAD8}<tbody><tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr></tbody></table>"
+    read = lambda text, mode: tables.html_table(frame(spark, text, "html"), mode=mode).first()
+    got = read(html, "janzour")
+    assert (got.category, len(got["columns"]), got.footer) == ("Lab", 8, None)
+    assert got.entries == [{"company_price": "10.0", "patient_price": "5.0", "net_price": "15.0", "time": "10:30", "date": "24/04/2025", "qty": "2", "service_name": "تحليل", "code": "B1"}]
+    four = "<table><thead><tr>" + "<th>h</th>" * 4 + "</tr></thead><tr><td>1</td><td>2</td><td>3</td><td>الصافي</td></tr></table>"
+    assert tuple(read(four, "janzour").footer) == (1.0, 2.0, 3.0)
+    assert read(four, "janzour").entries == []
+    assert read(four, "invoice").entries == [{"h": "الصافي"}]
+    assert read(html, "").entries == read("no table", "invoice").entries == []
