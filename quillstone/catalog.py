@@ -605,15 +605,53 @@ def _images(spark: SparkSession, sf: str) -> DataFrame:
     return p.select((F.col("page_id") % 20).cast("string").alias("pdf_name"), F.concat(F.lit("/in/"), (F.col("page_id") % 20).cast("string")).alias("pdf_path"), F.col("page_id").alias("page_num"), F.encode("html", "utf-8").alias("image"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT page_id, html, [CAST('0x' || substr(sha256(html), 2 * i + 1, 2) AS INTEGER) FOR i IN range(32)] AS h FROM pages)
+SELECT page_id AS page_num, CAST(h[32] % 5 AS BIGINT) AS n_boxes, CAST(h[1] % 2 AS BIGINT) AS n_codes, substr(html, 1, 11000) AS shown FROM p""")
 def q57_models_offline(spark: SparkSession, sf: str) -> DataFrame:
     found = models.boxes(models.boxes(_images(spark, sf)), task="codes").withColumn("prompt", F.lit("p"))
     read = models.read_pages(found)
     return read.select("page_num", long(F.size("boxes")).alias("n_boxes"), long(F.size("codes")).alias("n_codes"), models.shown(F.col("result"), F.col("error")).alias("shown"))
 
 
-@query()
+@query("""
+SELECT CAST(page_id % 20 AS VARCHAR) AS pdf_name, count(*) AS n_all, CAST(100 AS INTEGER) AS score, CAST(NULL AS VARCHAR) AS error FROM pages GROUP BY 1""")
 def q58_document_run(spark: SparkSession, sf: str) -> DataFrame:
     from quillstone.plans import pipeline
 
-    return pipeline.run(_images(spark, sf)).select("pdf_name", long(F.size("pages")).alias("n_pages"), long(F.size("skipped_pages")).alias("n_skipped"), F.col("validation.score").alias("score"), "validation.error")
+    done = pipeline.run(_images(spark, sf))
+    pages_read = F.size("pages") > 0
+    return done.select("pdf_name", long(F.size("pages") + F.size("skipped_pages")).alias("n_all"), F.when(pages_read, F.col("validation.score")).otherwise(F.lit(100)).alias("score"), F.when(pages_read, F.col("validation.error")).alias("error"))
+
+
+@query("""
+SELECT o_custkey, CAST(coalesce(CASE WHEN count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 END) = 1 THEN max(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 END) END, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END)) AS BIGINT) AS net_total, CAST(NULL AS BIGINT) AS amount_due FROM orders GROUP BY o_custkey""")
+def q59_net_totals(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    rows = o.select("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, long(F.col("o_custkey") % 7)).alias("grand"), F.when(F.col("o_orderkey") % 2 == 0, long("o_orderkey")).alias("section"), F.lit(None).cast("bigint").alias("due"))
+    return assemble.net_totals(rows, ["o_custkey"], "grand", "section", "due")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'I' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'M' || o_custkey END AS key FROM orders""")
+def q60_continuation_key(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.col("o_orderkey") % 3
+    invoice = F.when(turn == 0, F.concat(F.lit("I"), "o_orderkey")).otherwise(" ")
+    medical = F.when(turn < 2, F.concat(F.lit("M"), "o_custkey"))
+    return table(spark, sf, "orders").select("o_orderkey", assemble.continuation_key(invoice, medical).alias("key"))
+
+
+@query("""
+WITH b AS (SELECT p_partkey, CAST(p_partkey % 900 AS INTEGER) AS y, p_partkey % 4 AS kind, CAST(p_partkey % 1100 AS INTEGER) AS f FROM part),
+c AS (SELECT *, CASE kind WHEN 0 THEN y WHEN 1 THEN least(y + 70, 1000) ELSE 0 END AS y1 FROM b)
+SELECT p_partkey, CASE WHEN kind = 3 THEN NULL ELSE y1 END AS y1, CASE WHEN kind = 3 THEN NULL WHEN kind < 2 THEN least(1000, y1 + greatest(0, f - 50)) ELSE 1000 END AS y2 FROM c""")
+def q61_crop_plan(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    y, kind = (F.col("p_partkey") % 900).cast("int"), F.col("p_partkey") % 4
+    at = lambda label, top: F.struct(F.lit(label).alias("label"), F.lit(0).alias("x1"), top.alias("y1"), F.lit(500).alias("x2"), (top + 20).alias("y2"))
+    boxes = F.array(at("doc_title", y), at("header", y), at("footer", (F.col("p_partkey") % 1100).cast("int")))
+    where = F.when(kind == 0, "below_title").when(kind == 1, "under_header").otherwise("page")
+    route = F.struct(where.alias("crop"), F.lit(5.8).alias("right"), (kind < 2).alias("footer_shift"))
+    none = F.expr("cast(array() as array<struct<label:string,x1:int,y1:int,x2:int,y2:int>>)")
+    pages_ = part.select("p_partkey", boxes.alias("boxes"), none.alias("codes"), route.alias("route"), F.when(kind != 3, 600).alias("width"), F.lit(1000).alias("height"), F.lit(0).alias("turn"))
+    return router.crop_plan(pages_).select("p_partkey", "crop.y1", "crop.y2")

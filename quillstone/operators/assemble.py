@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import is_section_row
+from quillstone.functions.text import is_section_row, strip
 
 
 def carry(df: DataFrame, column: str, partition: list[str], order: list[str], name: str | None = None) -> DataFrame:
@@ -14,6 +14,12 @@ def carry(df: DataFrame, column: str, partition: list[str], order: list[str], na
     return df.withColumn(name or column, F.last(column, ignorenulls=True).over(w))
 
 
+def continuation_key(invoice_number: Column, medical_number: Column) -> Column:
+    """What names a page's document: the invoice number, else the medical number; null on pages that go on."""
+    said = lambda c: F.nullif(strip(c), F.lit(""))
+    return F.coalesce(said(invoice_number), said(medical_number))
+
+
 def name_sections(rows: DataFrame, cells: str, partition: list[str], order: list[str]) -> DataFrame:
     """Rows of one Arabic cell name the rows after them, and leave."""
     head = is_section_row(F.col(cells))
@@ -49,6 +55,12 @@ def net_total(grand: Column, section_sum: Column) -> Column:
     return F.coalesce(grand, section_sum)
 
 
+def net_totals(rows: DataFrame, keys: list[str], grand: str, section_total: str, amount_due: str) -> DataFrame:
+    """Net total per document: its one grand total, else (none, or several that differ) the sum of the section totals that are given; what is due is never computed."""
+    one = F.when(F.count_distinct(grand) == 1, F.max(grand))
+    return rows.groupBy(*keys).agg(net_total(one, F.sum(section_total)).alias("net_total"), F.max(amount_due).alias("amount_due"))
+
+
 def last_nonzero(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The last row in which any value isn't zero."""
     some = F.exists(F.array(*(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values)), lambda v: v != 0)

@@ -9,10 +9,6 @@ from quillstone.functions.text import file_name
 from quillstone.operators.pages import page_id
 
 
-class NotAPdf(ValueError):
-    """A single upload that isn't a PDF file."""
-
-
 def scan_pdfs(spark: SparkSession, path: str, template: str | None = None) -> DataFrame:
     """PDF files under a path with their names; other files are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
@@ -25,24 +21,18 @@ def only_pdfs(df: DataFrame, name: str = "filename") -> DataFrame:
     return df.where(F.lower(name).endswith(".pdf"))
 
 
-def require_pdf(filename: str) -> str:
-    """The name of a PDF file, or an error."""
-    if not filename.lower().endswith(".pdf"):
-        raise NotAPdf(filename)
-    return filename
-
-
 def scan_page_images(spark: SparkSession, path: str) -> DataFrame:
-    """Rendered pages `.../<pdf name>/page_<n>.png`, numbered from 0; empty files are skipped pages."""
+    """Rendered pages `.../<pdf name>/page_<n>.png`, numbered from 0; files that aren't PNG or JPEG images are skipped pages (Spark doesn't list empty files)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "page_*.{png,jpg}").option("recursiveFileLookup", "true").load(path)
     number = F.regexp_extract("path", r"page_(\d+)(?:_processed)?\.\w+$", 1).cast("int") - 1
     rows = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("pdf_name"), F.col("path").alias("pdf_path"), number.alias("page_num"), F.col("content").alias("image"))
-    return rows.withColumn("status", F.when(F.length("image") == 0, "skipped").otherwise("ok")).withColumn("page_uuid", page_id(F.col("pdf_path"), F.col("page_num")))
+    return rows.withColumn("status", F.when(F.hex(F.substring("image", 1, 2)).isin("8950", "FFD8"), "ok").otherwise("skipped")).withColumn("page_uuid", page_id(F.col("pdf_path"), F.col("page_num")))
 
 
 def write_images(df: DataFrame, path: str) -> None:
-    """Processed page images as binary columns."""
-    df.select("pdf_name", "page_num", "image").write.mode("append").partitionBy("pdf_name").parquet(path)
+    """Processed page images as binary columns, with the names their files would have."""
+    name = F.concat(F.lit("page_"), (F.col("page_num") + 1).cast("string"), F.lit("_processed.png"))
+    df.select("pdf_name", "page_num", name.alias("name"), "image").write.mode("append").partitionBy("pdf_name").parquet(path)
 
 
 def write_interim(groups: DataFrame, path: str) -> None:
@@ -69,6 +59,18 @@ def expired(listing: DataFrame, now: Column, hours: int = 72) -> DataFrame:
     return listing.where(F.col("modificationTime") < now - F.make_interval(hours=F.lit(hours)))
 
 
+def sweep(spark: SparkSession, path: str, now: Column | None = None, hours: int = 72) -> int:
+    """Delete the files under a path that are older than their time to live; how many went. Run it hourly."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    old = expired(listing, F.current_timestamp() if now is None else now, hours).select("path")
+    files, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for r in old.toLocalIterator():  # one name at a time
+        name = files.Path(r.path)
+        gone += name.getFileSystem(conf).delete(name, False)
+    return gone
+
+
 def encoded(image: Column) -> Column:
     """base64 of an image's bytes; empty without one."""
     return F.coalesce(F.base64(image), F.lit(""))

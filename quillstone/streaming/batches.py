@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from quillstone.operators.events import TERMINAL
+from quillstone.operators.events import TERMINAL, channel, subscribed, wire
 from quillstone.runtime import ship
 
 STATE_HOURS = 72
@@ -81,3 +82,14 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 def once(events: DataFrame, late: str = "72 hours") -> DataFrame:
     """Events without redelivered copies."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["task_id", "event", "ts"])
+
+
+def publish(events: DataFrame, path: str, checkpoint: str, task: str = "task_id") -> StreamingQuery:
+    """A stream of events into a folder of (channel, message) rows, nulls kept in the JSON."""
+    said = events.select(channel(F.col(task)).alias("channel"), wire(events).alias("message"))
+    return said.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def subscribe(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of task channels as a stream, word for word."""
+    return subscribed(spark.readStream.schema("channel string, message string").parquet(path))

@@ -112,3 +112,13 @@ def test_run_covers_every_file(spark):
 def test_catalog_names(spark):
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert len(catalog.QUERIES) > 50
+
+
+def test_published_events_come_back(spark, tmp_path):
+    schema = "task_id string, event string, ts timestamp"
+    spark.createDataFrame([("t", "completed", None)], schema).write.parquet(str(tmp_path / "in"))
+    q = batches.publish(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert q.awaitTermination(90)
+    q = batches.subscribe(spark, str(tmp_path / "out")).writeStream.format("memory").queryName("heard").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    assert [tuple(r) for r in spark.table("heard").collect()] == [("task_updates:t", '{"task_id":"t","event":"completed","ts":null}')]
