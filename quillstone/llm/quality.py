@@ -7,7 +7,9 @@ than `alpha` of the good texts"; a cutoff is certified when that is refuted at l
 cutoffs are tested from the most lenient on; a stricter one rejects no fewer good texts, so the
 certified ones are a run from the start of that order, which keeps the level (fixed-sequence
 testing). `alpha` is dealt evenly among the rules, so by the union bound all rules together reject at most
-`alpha` of a stratum's good texts with probability 1 - `delta`. Among certified cutoffs the
+`alpha` of a stratum's good texts with probability 1 - `delta`. The good texts meant are those that
+pass the base rules, which no label can save; equal texts of a stratum are one draw, since the
+exact test needs independent ones. Among certified cutoffs the
 one that rejects most bad texts less `price` times the good ones is used; a rule without one
 stays off in that stratum.
 
@@ -17,7 +19,8 @@ per document.
 
 Defined results: a null text has no words and fails the base; texts without labels only get
 verdicts; null strata form one stratum; labels that are null are not used and an id labelled
-twice is good if one label says so; a stratum without good labels has no active rule; empty
+twice is good if one label says so, as are equal texts; a very long text is measured inside its row;
+a stratum without good labels has no active rule; empty
 tables give empty results; other columns are ignored.
 """
 
@@ -62,6 +65,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     split = base.select(
         id_col,
         "stratum",
+        F.xxhash64("text").alias("text_hash"),
         (F.length("text") - removed(F.col("text"), BLANKS)).alias("word_chars"),
         removed(F.col("text"), SYMBOLS).alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"),
@@ -70,6 +74,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     counted = split.select(
         id_col,
         "stratum",
+        "text_hash",
         F.size("words").cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -126,7 +131,8 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def certify(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = 0.05, delta: float = 0.05, price: float = 20.0, rules: tuple = RULES) -> DataFrame:
     """stratum, rule, cutoff: the certified cutoffs in use, with the counts behind them."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("good"))
-    held = measured.where(~base_failed()).join(known, F.col(id_col) == F.col("_id"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    held = measured.where(~base_failed()).join(known, F.col(id_col) == F.col("_id")).groupBy("stratum", "text_hash", *counts).agg(F.max("good").alias("good"))
     tests = [(r, c) for r in rules for c in r[3]]
     count: Callable[[Column], Column] = lambda x: F.sum(x.cast("bigint"))
     sums = held.groupBy("stratum").agg(
