@@ -655,3 +655,19 @@ def q61_crop_plan(spark: SparkSession, sf: str) -> DataFrame:
     none = F.expr("cast(array() as array<struct<label:string,x1:int,y1:int,x2:int,y2:int>>)")
     pages_ = part.select("p_partkey", boxes.alias("boxes"), none.alias("codes"), route.alias("route"), F.when(kind != 3, 600).alias("width"), F.lit(1000).alias("height"), F.lit(0).alias("turn"))
     return router.crop_plan(pages_).select("p_partkey", "crop.y1", "crop.y2")
+
+
+@query("""
+WITH p AS (SELECT page_id, [CAST('0x' || substr(sha256(html), 2 * i + 1, 2) AS INTEGER) FOR i IN range(2)] AS h FROM pages)
+SELECT page_id AS page_num, CASE WHEN h[1] % 2 = 1 THEN 3 ELSE 0 END AS n_points, CASE WHEN h[1] % 2 = 0 THEN 0 ELSE [180, 270, 0, 90][h[2] % 4 + 1] END AS turn FROM p""")
+def q62_finder_points(spark: SparkSession, sf: str) -> DataFrame:
+    found = models.finder_points(models.boxes(_images(spark, sf), task="codes"))
+    return found.select("page_num", F.size("points").alias("n_points"), g.orientation(F.col("points")).cast("int").alias("turn"))
+
+
+@query("SELECT n_nationkey, n_name || 'x' AS said, CAST(1 AS BIGINT) AS n_rows FROM nation")
+def q63_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    from quillstone.functions import html
+
+    html.register(spark)
+    return table(spark, sf, "nation").selectExpr("n_nationkey", "concat('<table><tr><td> ', n_name, '</td></tr></table>\\n<p>x</p>') as doc").selectExpr("n_nationkey", "html_text(doc) as said", "cast(size(html_rows(doc)) as bigint) as n_rows")

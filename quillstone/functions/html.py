@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.runtime import once, ship
@@ -136,3 +136,19 @@ def body_rows(rows: Column) -> Column:
     """Rows of the body, or all rows where the table has no body."""
     body = F.filter(rows, lambda r: r["body"])
     return F.when(F.size(body) > 0, body).otherwise(rows)
+
+
+def register(spark: SparkSession) -> None:
+    """The HTML functions for SQL: `html_rows(text)`, the first table's rows, and `html_text(text)`, text nodes joined."""
+    ship(spark)
+
+    @F.arrow_udf(ROWS_DDL)
+    def html_rows(texts: pa.Array) -> pa.Array:
+        return pa.array([parse_rows(t.as_py()) for t in texts], pa.list_(ROW))
+
+    @F.arrow_udf("string")
+    def html_text(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t.as_py() is None else plain_text(t.as_py()) for t in texts], pa.string())
+
+    spark.udf.register("html_rows", html_rows)
+    spark.udf.register("html_text", html_text)

@@ -3,6 +3,7 @@
 import os
 import struct
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quillstone.functions.geometry import png_size
@@ -55,17 +56,19 @@ def test_run_reads_the_planned_part(spark):
         def codes(self, image):
             return [{"label": "barcode", "score": 1.0, "x1": 100, "y1": 100, "x2": 200, "y2": 150}]
 
-        def cut(self, image, crop, blank):
-            return repr((sorted(crop.items()), [sorted(b.items()) for b in blank])).encode()
+        def cut(self, image, crop, blank, turn):
+            return repr((turn, sorted(crop.items()), [sorted(b.items()) for b in blank])).encode()
 
     rows = spark.createDataFrame([(PNG,)], "image binary")
     assert tuple(rows.select(png_size(F.col("image")).alias("s")).first().s) == (600, 1000)
     assert rows.select(png_size(F.lit(b"GIF")).alias("s")).first().s is None
     images = spark.createDataFrame([("f", "/f", 0, PNG)], "pdf_name string, pdf_path string, page_num int, image binary")
-    (done,) = pipeline.run(images, make=Cutting).collect()
+    seen = Observation("run")
+    (done,) = pipeline.run(images, make=Cutting, progress=seen).collect()
+    assert seen.get == {"files": 1, "failed": 0}
     crop = [("x1", 0), ("x2", 600), ("y1", 100), ("y2", 850)]
     blank = [("x1", 90), ("x2", 210), ("y1", 80), ("y2", 170)]
-    assert done.pages[0].text == repr((crop, [blank]))
+    assert done.pages[0].text == repr((0, crop, [blank]))
 
 
 def test_card_plan(spark):
