@@ -9,7 +9,8 @@ and offset indexes. So ids, lengths and offsets are read without touching a toke
 range of documents or of the stream reads only its pages.
 
 Defined results: a null or empty text has only the end id; equal ids keep all their rows,
-ordered by a hash of the text; an empty table gives an empty store; other columns are ignored.
+ordered by a hash of the text, and rows without an id come first; a very long text is encoded in
+one worker and is one row; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrow import prepare, tidy
@@ -92,11 +93,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     }
     placed.mapInArrow(tidy(run), DATA_SCHEMA).write.options(**options).parquet(f"{path}/data")
     ends = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    rows, base = [], 0
-    for r in sorted(ends.collect(), key=lambda r: r.part):  # one row per data file
-        rows.append((r.part, base, r.n_tokens, r.n_docs, r.first_id, r.last_id))
-        base += r.n_tokens
-    spark.createDataFrame(rows, "part int, base bigint, n_tokens bigint, n_docs bigint, first_id bigint, last_id bigint").coalesce(1).write.parquet(f"{path}/manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per data file
+    ends.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("bigint")).select("part", "base", "n_tokens", "n_docs", "first_id", "last_id").coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def read_store(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
@@ -113,16 +111,17 @@ def read_documents(spark: SparkSession, path: str, first_id: int, last_id: int,
 
 def read_stream(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
     """The rows that hold tokens [start, start + length) of the stream, cut to it."""
-    manifest = spark.read.parquet(f"{path}/manifest").where((F.col("base") < start + length) & (F.col("base") + F.col("n_tokens") > start)).collect()
-    out = None
-    for m in manifest:  # data files that the range touches
-        lo = start - m.base
-        rows = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").where((F.col("part") == m.part) & (F.col("start_in_part") < lo + length) & (F.col("start_in_part") + F.col("n_tokens") > lo))
-        skip = F.greatest(F.lit(0).cast("bigint"), lo - F.col("start_in_part"))
-        take = F.least(F.col("n_tokens"), lo + length - F.col("start_in_part")) - skip
-        rows = rows.select("doc_id", (F.col("start_in_part") + m.base + skip).alias("start"), F.slice("tokens", (skip + 1).cast("int"), take.cast("int")).alias("tokens"))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, start bigint, tokens array<int>")
+    manifest = spark.read.parquet(f"{path}/manifest").where((F.col("base") < start + length) & (F.col("base") + F.col("n_tokens") > start)).select("part", "base")
+    first, last = manifest.agg(F.min("part"), F.max("part")).first()
+    if first is None:
+        return spark.createDataFrame([], "doc_id bigint, start bigint, tokens array<int>")
+    # the numbers of the first and last file let the scan skip the row groups of all others
+    rows = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").where(F.col("part").between(first, last)).join(F.broadcast(manifest), "part")
+    begin = F.col("base") + F.col("start_in_part")
+    rows = rows.where((begin < start + length) & (begin + F.col("n_tokens") > start))
+    skip = F.greatest(F.lit(0).cast("bigint"), start - begin)
+    take = F.least(F.col("n_tokens"), start + length - begin) - skip
+    return rows.select("doc_id", (begin + skip).alias("start"), F.slice("tokens", (skip + 1).cast("int"), take.cast("int")).alias("tokens"))
 
 
 def crc_of_lists(column: pa.Array) -> pa.Array:
