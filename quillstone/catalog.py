@@ -193,7 +193,7 @@ def q52_core_fields(spark: SparkSession, sf: str) -> DataFrame:
 SELECT page_id, 'scan ' || page_id AS pdf_name FROM pages WHERE page_id % 2 = 0""")
 def q40_filename(spark: SparkSession, sf: str) -> DataFrame:
     stem = F.concat(F.lit("scan "), F.col("page_id").cast("string"))
-    task = F.concat_ws("-", F.lit("01234567"), F.lit("89ab"), F.lit("4def"), F.lit("8123"), F.lit("456789abcdef"))
+    task = F.lit("01234567-89ab-4def-8123-456789abcdef")
     name = F.concat(F.lit("/in/"), F.when(F.col("page_id") % 4 == 0, F.concat(task, F.lit("_"))).otherwise(""), stem, F.when(F.col("page_id") % 2 == 0, ".PDF").otherwise(".txt"))
     from quillstone.sources.files import only_pdfs
 
@@ -469,7 +469,11 @@ def q41_vertical_gap(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes(spark, sf).withColumn("next", F.lead("b").over(w)).select(*_KEYS, g.gap(F.col("b"), F.col("next")).alias("gap"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT l_orderkey, list({'x': l_partkey % 100, 'y': l_suppkey % 100} ORDER BY l_partkey % 100, l_suppkey % 100) AS p FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey, p, 2 AS i, [p[1]] AS k FROM p
+  UNION ALL SELECT l_orderkey, p, i + 1, CASE WHEN len(list_filter(k, lambda q: (q.x - p[i].x) * (q.x - p[i].x) + (q.y - p[i].y) * (q.y - p[i].y) <= 100)) > 0 THEN k ELSE list_append(k, p[i]) END FROM r WHERE i <= len(p))
+SELECT l_orderkey, CAST(len(p) AS BIGINT) AS n, CAST(len(k) AS BIGINT) AS kept FROM r WHERE i = len(p) + 1""")
 def q42_greedy_points(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct((F.col("l_partkey") % 100).cast("double").alias("x"), (F.col("l_suppkey") % 100).cast("double").alias("y")))).alias("p"))
     return p.select("l_orderkey", long(F.size("p")).alias("n"), long(F.size(g.distinct_points(F.col("p")))).alias("kept"))
