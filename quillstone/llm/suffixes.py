@@ -400,8 +400,6 @@ def common_windows(windows: DataFrame, length: int) -> DataFrame:
     groups = max(1, -(-windows.count() // BUCKET_WINDOWS))
     share = F.pmod(F.xxhash64("id"), F.lit(groups))
     dealt = lambda df, *keys: df.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("part"), "id", "tie", "at", "g", "body")
-    if groups == 1:
-        return by_key(dealt(windows, "g"), ["part"], compare_strings(length), _HITS)
     first = settle(by_key(dealt(windows.withColumn("share", share), "g", "share"), ["part"], compare_strings(length, rest=True), _HITS), "shares", compression="zstd")
     left = first.where("upto is null")
     return first.where("upto is not null").unionByName(by_key(dealt(left, "g"), ["part"], compare_strings(length), _HITS))
