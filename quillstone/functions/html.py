@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +11,16 @@ from pyspark.sql import functions as F
 
 from quillstone.runtime import once, ship
 
-ROW = pa.struct([("head", pa.bool_()), ("body", pa.bool_()), ("spans", pa.bool_()), ("cells", pa.list_(pa.struct([("th", pa.bool_()), ("text", pa.string())])))])
-ROWS_DDL = "array<struct<head:boolean,body:boolean,spans:boolean,cells:array<struct<th:boolean,text:string>>>>"
+ROW = pa.struct([("head", pa.bool_()), ("body", pa.bool_()), ("spans", pa.bool_()), ("cells", pa.list_(pa.string())), ("heads", pa.list_(pa.bool_()))])
+ROWS_DDL = "array<struct<head:boolean,body:boolean,spans:boolean,cells:array<string>,heads:array<boolean>>>"
 #: Ends of lines, as Python's splitlines has them.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
 class _Tables(HTMLParser):
     """Rows of the first table. A row knows whether it is in the first head or the first body,
-    its cells, which of them are headers, and whether a data cell spans columns. Text nodes of
-    a cell are stripped and joined without a blank."""
+    its cells, which of them are headers (`heads`, empty where none is), and whether a data cell
+    spans columns. Text nodes of a cell are stripped and joined without a blank."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -39,10 +40,11 @@ class _Tables(HTMLParser):
             self.begun.add(tag)
         elif tag == "tr":
             self.cell = None
-            self.rows.append({"head": self.section == "thead", "body": self.section == "tbody", "spans": False, "cells": []})
+            self.rows.append({"head": self.section == "thead", "body": self.section == "tbody", "spans": False, "cells": [], "heads": []})
         elif tag in ("td", "th") and self.rows:
             self.cell = []
-            self.rows[-1]["cells"].append({"th": tag == "th", "text": self.cell})
+            self.rows[-1]["cells"].append(self.cell)
+            self.rows[-1]["heads"].append(tag == "th")
             if tag == "td" and any(k == "colspan" for k, _ in attrs):
                 self.rows[-1]["spans"] = True
 
@@ -60,7 +62,7 @@ class _Tables(HTMLParser):
             self.cell.append(data.strip())
 
     def table(self) -> list[dict]:
-        return [r | {"cells": [c | {"text": "".join(c["text"])} for c in r["cells"]]} for r in self.rows]
+        return [r | {"cells": ["".join(c) for c in r["cells"]], "heads": r["heads"] if any(r["heads"]) else []} for r in self.rows]
 
 
 def parse_rows(html: str | None) -> list[dict] | None:
@@ -72,6 +74,15 @@ def parse_rows(html: str | None) -> list[dict] | None:
     return p.table()
 
 
+def in_columns(tables: list[list[dict] | None]) -> pa.Array:
+    """Tables as one Arrow array, built column by column."""
+    rows = [r for t in tables for r in t or ()]
+    ends = lambda parts: pa.array([0, *accumulate(len(p) for p in parts)], pa.int32())
+    flat = lambda n: pa.ListArray.from_arrays(ends([r[n] for r in rows]), pa.array(list(chain.from_iterable(r[n] for r in rows)), ROW.field(n).type.value_type))
+    columns = [flat(f.name) if pa.types.is_list(f.type) else pa.array([r[f.name] for r in rows], f.type) for f in ROW]
+    return pa.ListArray.from_arrays(ends([t or () for t in tables]), pa.StructArray.from_arrays(columns, fields=list(ROW)), mask=pa.array([t is None for t in tables]))
+
+
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -95,7 +106,7 @@ def table_rows(df: DataFrame, html: str) -> DataFrame:
 
     @F.arrow_udf(ROWS_DDL)
     def rows(texts: pa.Array) -> pa.Array:
-        return pa.array([parse_rows(t.as_py()) for t in texts], pa.list_(ROW))
+        return in_columns([parse_rows(t.as_py()) for t in texts])
 
     return df.withColumn("rows", once(rows)(F.col(html)))
 
@@ -111,25 +122,20 @@ def stripped_lines(df: DataFrame, html: str) -> DataFrame:
     return df.withColumn("raw", F.split(html, LINE_END)).withColumn("lines", once(plain)(F.col("raw")))
 
 
-def texts(row: Column) -> Column:
-    """All cells of a row."""
-    return F.transform(row["cells"], lambda c: c["text"])
-
-
 def data_texts(row: Column) -> Column:
     """Data cells of a row, without its header cells."""
-    return F.transform(F.filter(row["cells"], lambda c: ~c["th"]), lambda c: c["text"])
+    return F.when(F.size(row["heads"]) == 0, row["cells"]).otherwise(F.filter(row["cells"], lambda c, i: ~F.get(row["heads"], i)))
 
 
 def plain_table(rows: Column) -> Column:
     """H2: rows as lines, cells joined by blanks; empty without a table."""
-    return F.coalesce(F.array_join(F.transform(rows, lambda r: F.array_join(texts(r), " ")), "\n"), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(rows, lambda r: F.array_join(r["cells"], " ")), "\n"), F.lit(""))
 
 
 def raw_headers(rows: Column) -> Column:
     """Header cells of the first row of the head; none without a head."""
-    first = F.get(F.filter(rows, lambda r: r["head"]), 0)["cells"]
-    return F.coalesce(F.transform(F.filter(first, lambda c: c["th"]), lambda c: c["text"]), F.expr("cast(array() as array<string>)"))
+    first = F.get(F.filter(rows, lambda r: r["head"]), 0)
+    return F.coalesce(F.filter(first["cells"], lambda c, i: F.coalesce(F.get(first["heads"], i), F.lit(False))), F.expr("cast(array() as array<string>)"))
 
 
 def body_rows(rows: Column) -> Column:
@@ -144,7 +150,7 @@ def register(spark: SparkSession) -> None:
 
     @F.arrow_udf(ROWS_DDL)
     def html_rows(texts: pa.Array) -> pa.Array:
-        return pa.array([parse_rows(t.as_py()) for t in texts], pa.list_(ROW))
+        return in_columns([parse_rows(t.as_py()) for t in texts])
 
     @F.arrow_udf("string")
     def html_text(texts: pa.Array) -> pa.Array:

@@ -100,16 +100,6 @@ def number(text: Column) -> Column:
     return let(plain, lambda v: F.when(v.rlike(_NUMBER), v.try_cast("double")))
 
 
-def after_label(line: Column, label: str) -> Column:
-    """What follows a label and an optional separator."""
-    return strip(capture(line, rf"(?i)\Q{label}\E\s*[:\-]?\s*(.+)"))
-
-
-def before_label(line: Column, label: str) -> Column:
-    """The token before a label."""
-    return strip(capture(line, rf"(?i)([^\s:،\-–]+)\s+\Q{label}\E"))
-
-
 def clean_value(text: Column) -> Column:
     """Without separators at the ends or a closing parenthesis; null if nothing is left."""
     inner = strip(F.regexp_replace(strip(text, " \t:.-،"), rx(r"\s*\([^)]+\)\s*$"), ""))
