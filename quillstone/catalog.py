@@ -675,3 +675,15 @@ def q63_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
 
     html.register(spark)
     return table(spark, sf, "nation").selectExpr("n_nationkey", "concat('<table><tr><td> ', n_name, '</td></tr></table>\\n<p>x</p>') as doc").selectExpr("n_nationkey", "html_text(doc) as said", "cast(size(html_rows(doc)) as bigint) as n_rows")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey AS VARCHAR) END AS invoice_number, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS VARCHAR) END AS file_number, o_clerk AS doctor_name FROM (SELECT o_orderkey, o_custkey, 'Dr' || o_custkey AS o_clerk FROM orders)""")
+def q64_header_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """A value behind its label, before it, on the line above, or some lines below with a remark in parentheses."""
+    o = table(spark, sf, "orders")
+    k, number = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("رقم الملف: "), number)).when(k == 1, F.concat(number, F.lit(" رقم الملف"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit("\nإيصال رقم")))
+    below = F.concat(F.lit("\nالجهة: x\nالطبيب\n \n"), F.lit("Dr"), number, F.lit(" (استشاري)"))
+    parsed = headers.invoice_header(o.select("o_orderkey", F.concat(said, below).alias("text")))
+    return parsed.select("o_orderkey", "header.invoice_number", "header.file_number", "header.doctor_name")
