@@ -102,10 +102,13 @@ def test_binomial_and_certified_cutoffs(spark):
         exact = sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1))
         assert r.t == pytest.approx(exact if k < 0.02 * n else 1.0, rel=1e-9)
     plain, junk = " ".join(f"w{i}x" for i in range(60)), " ".join(f"w{i}*#$" for i in range(60))
-    d = spark.createDataFrame([(i, junk if i % 10 == 0 else plain, "en") for i in range(2000)], "doc_id bigint, text string, lang string")
+    d = spark.createDataFrame([(i, f"{junk if i % 10 == 0 else plain} d{i}", "en") for i in range(2000)], "doc_id bigint, text string, lang string")
     y = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(2000)], "doc_id bigint, quality int")
     out = quality.judge(d, y, strata=F.col("lang")).groupBy("kept").count().collect()
     assert {r["kept"]: r["count"] for r in out} == {True: 1800, False: 200}
+    # copies are one draw: two texts certify nothing
+    copies = d.withColumn("text", F.when(F.col("doc_id") % 10 == 0, junk).otherwise(plain))
+    assert quality.judge(copies, y, strata=F.col("lang")).where("not kept").count() == 0
 
 
 def brute_components(rows, percent=90):
