@@ -19,7 +19,7 @@ from array import array
 import numpy as np
 
 #: Pieces in a generation of the cache, and the longest piece that is kept (in characters).
-GENERATION, LONGEST = 400_000, 40
+GENERATION, LONGEST = 200_000, 40
 
 #: How the fitting tokenizers cut texts, and whether a blank belongs to the piece after it.
 FITTING = [
