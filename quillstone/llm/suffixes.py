@@ -15,13 +15,13 @@ dealt into buckets that strings with `LENGTH` equal bytes always share:
 3. Those strings meet by anchor. Their suffixes are sorted; previous and next smaller positions
    (the nearest suffixes in order that a smaller id owns) with the common prefixes up to them give
    the longest previous factors, and those of `LENGTH` or more mark their bytes.
-   An anchor with more than `CROWD` different stretches (the ends of a very common passage) is
-   dealt on by the hash of each window. Where a window is very common, its copies first meet in
-   shares by id, and the least of each share meet again.
+   Strings of an anchor with more than `CROWD` different stretches (the ends of a very common
+   passage) stay packed, a row for each text. Their windows, stretches of one window, are dealt and
+   judged like those of step 1, so a very common window is one entry for each block of texts.
 4. Marked spans are merged per document and cut from its text.
 
-Equal stretches are told by 84 bits of hashes (44 of the anchor, 40 of the stretch); all others
-by their bytes.
+Equal stretches are told by 84 bits of hashes (44 of the anchor, 40 of the stretch; for windows of
+crowded anchors 44 of both, 40 of the window); all others by their bytes.
 
 Defined results: a null or empty text has no bytes and keeps none; matches never cross
 documents nor count within one; rows that share an id don't remove from each other; rows
@@ -31,7 +31,7 @@ overlapping segments; empty tables give empty results; other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +138,57 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int, gram: int) -> DataFrame:
+#: Ids, anchors and hashes of stretches of a batch, and how many texts they are from.
+Parts = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]
+
+
+def stretches_of(length: int, gram: int) -> Parts:
+    """All stretches of texts (id, text)."""
+
+    def fn(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for chunk, _ in segments(batch.column(1), length):
+            s = Stretches(chunk, length, gram)
+            yield ids[chunk.first + s.doc], s.anchor, s.whole, len(chunk)
+
+    return fn
+
+
+def windows_of(length: int) -> Parts:
+    """All windows of packed strings (id, body), as stretches of one window."""
+
+    def fn(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        row, _, anchor, whole = packed_windows(batch.column(1), length)
+        yield batch.column(0).to_numpy(zero_copy_only=False)[row], anchor, whole, batch.num_rows
+
+    return fn
+
+
+def pack_strings(data: np.ndarray, first: np.ndarray, upto: np.ndarray, base: int, anchor: np.ndarray) -> bytes:
+    """Strings [first, upto) of a text as one value: places in the text, anchors, sizes, bytes."""
+    head = (np.array([len(first)]), first - base, anchor.view(np.int64))
+    return b"".join([*(x.astype("<i8").tobytes() for x in head), (upto - first).astype("<u4").tobytes(), *(data[a:b].tobytes() for a, b in zip(first.tolist(), upto.tolist(), strict=True))])
+
+
+def packed_windows(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of packed strings in order: row, place in the text, anchor (of the string's anchor with the window), hash."""
+    parts = []
+    for b in column.to_pylist():
+        n = int(np.frombuffer(b, "<i8", 1)[0])
+        parts.append((np.frombuffer(b, "<i8", n, 8), np.frombuffer(b, "<u8", n, 8 + 8 * n), np.frombuffer(b, "<u4", n, 8 + 16 * n), np.frombuffer(b, np.uint8, -1, 8 + 20 * n)))
+    first, anchor, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    row, size = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]), size.astype(np.int64)
+    n = size - length + 1
+    string = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[string] + within
+    name = span_hash(prefix_hash(data), at, at + length)
+    return row[string], first[string] + within, mix(name ^ mix(anchor)[string]), name & _LOW40
+
+
+def deal(rows: DataFrame, parts: Parts, buckets: int) -> DataFrame:
     """Stretches by bucket of their anchor; repeats inside a block are settled at once (negative buckets, spread over many)."""
-    prepare(docs.sparkSession)
+    prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, block = TaskContext.get().partitionId(), 0
@@ -178,11 +226,9 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int,
                 yield _batch(out)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk, _ in segments(batch.column(1), length):
-                s = Stretches(chunk, length, gram)
-                held.append((ids[chunk.first + s.doc], s.anchor, s.whole))
-                count, texts = count + len(s.doc), texts + len(chunk)
+            for doc, anchor, whole, n in parts(batch) if batch.num_rows else ():
+                held.append((doc, anchor, whole))
+                count, texts = count + len(doc), texts + n
                 if count >= BLOCK_STRETCHES or texts >= BLOCK_TEXTS:
                     if count:
                         yield from flush()
@@ -191,7 +237,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, buckets: int, length: int,
         if count:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(tidy(run), _DEALT)
+    return rows.mapInArrow(tidy(run), _DEALT)
 
 
 def judge_bucket(crowd: int):
@@ -257,11 +303,12 @@ def by_document(key: tuple, table: pa.Table) -> Iterator[dict]:
         yield out
 
 
+_ANSWERS = "id bigint, settled binary, asked binary, crowded binary"
 _MARKS = "kind int, id bigint, tie bigint, g bigint, at bigint, upto bigint, body binary"
 
 
 def mark(length: int, gram: int):
-    """For texts with answers: settled spans (kind 0), strings to compare (1), windows of crowded anchors (2)."""
+    """For texts with answers: settled spans (kind 0), strings to compare (1), all strings of crowded anchors in one row (2; `upto` counts their windows)."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, ties = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -300,11 +347,10 @@ def mark(length: int, gram: int):
                 add(1, pick, s.anchor[pick].view(np.int64), s.first[pick] - base[pick], s.last[pick] + length - base[pick], [raw[a:b].tobytes() for a, b in zip(s.first[pick].tolist(), (s.last[pick] + length).tolist(), strict=True)])
             pick = np.flatnonzero(kinds[2] & ~kinds[0])
             if len(pick):
-                n = s.last[pick] - s.first[pick] + 1
-                each = np.repeat(pick, n)
-                at = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + s.first[each]
-                raw = chunk.data
-                add(2, each, span_hash(s.prefix, at, at + length).view(np.int64), at - base[each], at + length - base[each], [raw[a : a + length].tobytes() for a in at.tolist()])
+                texts = np.split(pick, np.flatnonzero(np.diff(s.doc[pick])) + 1)
+                bodies = [pack_strings(chunk.data, s.first[t], s.last[t] + length, int(base[t[0]]), s.anchor[t]) for t in texts]
+                heads, none = np.array([t[0] for t in texts]), np.zeros(len(texts), dtype=np.int64)
+                add(2, heads, none, none, np.array([int((s.last[t] - s.first[t] + 1).sum()) for t in texts]), bodies)
             if out["kind"]:
                 done = {n: pa.array(np.concatenate(v)) for n, v in out.items() if n != "body"}
                 yield done | {"body": pa.concat_arrays(out["body"])}
@@ -356,11 +402,11 @@ def longest_previous(words: np.ndarray, size: np.ndarray, owner: np.ndarray) ->
     return out
 
 
-_HITS = "id bigint, tie bigint, at bigint, upto bigint, g bigint, body binary"
+_HITS = "id bigint, tie bigint, at bigint, upto bigint"
 
 
-def compare_strings(length: int, rest: bool = False):
-    """Spans of strings whose suffixes have a longest previous factor of `length` or more. `rest` also returns strings without one, with their bodies."""
+def compare_strings(length: int):
+    """Spans of strings whose suffixes have a longest previous factor of `length` or more."""
 
     def fn(key: tuple, table: pa.Table) -> Iterator[dict]:
         ids, ties, at = (table.column(n).to_numpy() for n in ("id", "tie", "at"))
@@ -384,25 +430,42 @@ def compare_strings(length: int, rest: bool = False):
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (a[1:] > a[:-1] + length)])
             heads = np.flatnonzero(new)
             tails = np.concatenate([heads[1:] - 1, [len(s) - 1]])
-            yield {"id": pa.array(ids[s[heads]]), "tie": pa.array(ties[s[heads]]), "at": pa.array(a[heads]), "upto": pa.array(a[tails] + length), "g": pa.nulls(len(heads), pa.int64()), "body": pa.nulls(len(heads), pa.binary())}
-        if rest:
-            left = np.ones(len(ids), dtype=bool)
-            left[string[hit]] = False
-            if left.any():
-                kept = table.filter(pa.array(left))
-                yield {"upto": pa.nulls(kept.num_rows, pa.int64())} | {c: kept.column(c).combine_chunks() for c in ("id", "tie", "at", "g", "body")}
+            yield {"id": pa.array(ids[s[heads]]), "tie": pa.array(ties[s[heads]]), "at": pa.array(a[heads]), "upto": pa.array(a[tails] + length)}
 
     return fn
 
 
-def common_windows(windows: DataFrame, length: int) -> DataFrame:
-    """Windows that a smaller id also holds. Copies of one window first meet in shares by id; what no share marks meets again."""
-    groups = max(1, -(-windows.count() // BUCKET_WINDOWS))
-    share = F.pmod(F.xxhash64("id"), F.lit(groups))
-    dealt = lambda df, *keys: df.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("part"), "id", "tie", "at", "g", "body")
-    first = settle(by_key(dealt(windows.withColumn("share", share), "g", "share"), ["part"], compare_strings(length, rest=True), _HITS), "shares", compression="zstd")
-    left = first.where("upto is null")
-    return first.where("upto is not null").unionByName(by_key(dealt(left, "g"), ["part"], compare_strings(length), _HITS))
+def settled_windows(length: int):
+    """Spans of packed strings whose windows are among the settled ones of their id."""
+
+    def fn(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        row, at, anchor, whole = packed_windows(batch.column(2), length)
+        code, edges = pair_code(anchor, whole), np.searchsorted(row, np.arange(batch.num_rows + 1))
+        hit = np.concatenate([np.isin(code[x:y], np.frombuffer(v, "<u8")) for x, y, v in zip(edges[:-1], edges[1:], batch.column(3).to_pylist(), strict=True)])
+        row, at = row[hit], at[hit]
+        if len(row):
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + length)])
+            heads = np.flatnonzero(new)
+            tails = np.concatenate([heads[1:] - 1, [len(row) - 1]])
+            yield {"id": ids[row[heads]], "tie": ties[row[heads]], "at": at[heads], "upto": at[tails] + length}
+
+    return fn
+
+
+def by_id(answers: DataFrame, *names: str) -> DataFrame:
+    """Answers of one id as one row: it may have had rows in several blocks."""
+    together = answers.groupBy("id").agg(*(F.array_join(F.collect_list(F.hex(n)), "").alias(n) for n in names))
+    return together.select("id", *(F.unhex(n).alias(n) for n in names))
+
+
+def common_windows(crowds: DataFrame, length: int, crowd: int) -> DataFrame:
+    """Spans of windows of packed strings (id, tie, body, and their number as `upto`) that a smaller id also holds."""
+    count = crowds.agg(F.coalesce(F.sum("upto"), F.lit(0)).alias("n")).first().n
+    buckets = max(1, -(-int(count) // BUCKET_WINDOWS))
+    judged = by_key(deal(crowds.select("id", "body"), windows_of(length), buckets), ["bucket"], judge_bucket(crowd), _DEALT)
+    answers = settle(by_key(judged, ["block"], by_document, _ANSWERS).where("octet_length(settled) > 0").select("id", "settled"), "windows")
+    return map_batches(crowds.join(by_id(answers, "settled"), "id").select("id", "tie", "body", "settled"), settled_windows(length), _HITS)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -410,17 +473,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(1, -(-int(size) * 2 // (length - gram + 2) // BUCKET_STRETCHES))
-    judged = by_key(deal(docs, id_col, text_col, buckets, length, gram), ["bucket"], judge_bucket(crowd), _DEALT)
-    answers = settle(by_key(judged, ["block"], by_document, "id bigint, settled binary, asked binary, crowded binary"), "answers")
+    judged = by_key(deal(rows.where("id is not null"), stretches_of(length, gram), buckets), ["bucket"], judge_bucket(crowd), _DEALT)
+    answers = settle(by_key(judged, ["block"], by_document, _ANSWERS), "answers")
     _, doubtful = bloom.split_by_id(rows.where("id is not null"), F.col("id"), answers, "id")
-    # one id may have had rows in several blocks
-    together = answers.groupBy("id").agg(*(F.array_join(F.collect_list(F.hex(n)), "").alias(n) for n in ("settled", "asked", "crowded"))).select("id", *(F.unhex(n).alias(n) for n in ("settled", "asked", "crowded")))
-    met = doubtful.join(together, "id").select("id", "text", F.xxhash64("text").alias("tie"), "settled", "asked", "crowded")
+    met = doubtful.join(by_id(answers, "settled", "asked", "crowded"), "id").select("id", "text", F.xxhash64("text").alias("tie"), "settled", "asked", "crowded")
     marks = settle(map_batches(met, mark(length, gram), _MARKS), "marks", compression="zstd")
     strings = marks.where("kind = 1")
     groups = max(1, -(-strings.count() // BUCKET_STRINGS))
     compared = by_key(strings.select(F.pmod(F.xxhash64("g"), F.lit(groups)).alias("part"), "id", "tie", "at", "body"), ["part"], compare_strings(length), _HITS)
-    crowded = common_windows(marks.where("kind = 2"), length)
+    crowded = common_windows(marks.where("kind = 2"), length, crowd)
     spans = marks.where("kind = 0").select("id", "tie", "at", "upto")
     for more in (compared, crowded):
         spans = spans.unionByName(more.select("id", "tie", "at", "upto"))
